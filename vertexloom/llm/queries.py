@@ -35,6 +35,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vertexloom.llm import quality_rules
+
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.score(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vertexloom.llm import quality_bayes, quality_rules
+
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality_bayes.classify(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 #: White space between words: blank and the ASCII controls 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Line feeds alone.
+NEWLINE = np.arange(256) == 10
 BLOCK = 1 << 20
 _ODD, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -61,13 +63,13 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text: word i is data[starts[i]:ends[i]]; text d has the words first[d]:first[d + 1]."""
+    """Words `[^\\x20\\x09-\\x0D]+` of each text, or what other gaps leave: word i is data[starts[i]:ends[i]]; text d has the words first[d]:first[d + 1]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
         lo, hi = int(offsets[0]), int(offsets[-1])
         part = data[lo:hi]
-        inside = ~SPACE[part]
+        inside = ~gaps[part]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         edges = offsets[:-1][offsets[:-1] < offsets[1:]] - lo
@@ -120,3 +122,29 @@ class Words:
 
 #: Two independent odd multipliers for 128-bit window keys.
 WIDE = (_ODD2, 0x165667B19E3779F9)
+
+
+def sums_by_text(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of values[begins[d]:ends[d]] for each text d; begins[d] <= ends[d]."""
+    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[ends] - total[begins]
+
+
+def repeats(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which items have an equal key in the same text at all, and which have it earlier."""
+    both = keys ^ mix(docs.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(both, kind="stable")
+    same = (both[order[1:]] == both[order[:-1]]) & (docs[order[1:]] == docs[order[:-1]])
+    any_, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    later[order[1:][same]] = True
+    any_[order[:-1][same]] = True
+    return any_ | later, later
+
+
+def covered(n: int, at: np.ndarray, k: int) -> np.ndarray:
+    """Which of n words lie in a window of k words that begins at one of `at`."""
+    change = np.zeros(n + 1, np.int32)
+    change += np.bincount(at, minlength=n + 1).astype(np.int32)
+    change -= np.bincount(at + k, minlength=n + 1).astype(np.int32)
+    return np.cumsum(change)[:n] > 0
