@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words that a worker remembers with their encodings, each of so many bytes at most.
-REMEMBERED, REMEMBERED_BYTES = 700_000, 64
+REMEMBERED, REMEMBERED_BYTES = 250_000, 64
 #: The word pattern with the letters, numbers and white space of Latin-1 spelt out, since `re` is faster than `regex`.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -127,9 +127,9 @@ class TrieBPE:
         """Distinct words with their encodings, in sorted order: a depth-first walk of their trie whose path is kept in lists."""
         last, size, state, before = [-1], [0], [0], b""  # by depth: the last token of the prefix, its length, the automaton's state
         ends, fits, moves, step, apart = self.ends, self.fits, self.moves, self._step, self.apart
-        if len(fits) > 1 << 20:
+        if len(fits) > 1 << 18:
             fits.clear()
-        if len(moves) > 1 << 21:
+        if len(moves) > 1 << 19:
             moves = self.moves = dict(self.edges)
         for word in sorted(words):
             same, most = 0, min(len(word), len(before))
@@ -231,8 +231,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
         from vertexloom.llm.textops import pieces
 
         bpe = model(vocabulary)
-        gc.freeze()  # the tables of the model and the remembered words hold no cycles
-        gc.disable()
+        gc.freeze()  # the tables of the model and the remembered words hold no cycles, so collecting need not visit them
         for batch in pieces(batches, text):
             packed = bpe.encode([x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()])
             offsets = np.zeros(len(packed) + 1, np.int32)
