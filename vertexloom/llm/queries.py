@@ -51,10 +51,33 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bayes.classify(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vertexloom.llm import substring
+
+    found = substring.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
+#: Words as lists.
+_WORDS = r"""w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
+
+ORACLES = {
+    "op9_substring_dedup": f"""
+        WITH {_WORDS},
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
+        keyed AS (SELECT doc_id, s, array_to_string(list_slice(ws, s, s + 19), ' ') AS k FROM starts),
+        ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM keyed),
+        gone AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 20)))) AS g FROM ranked WHERE r > 1 GROUP BY doc_id),
+        pos AS (SELECT w.doc_id, len(ws) AS n, g, list_filter(list_transform(ws, lambda x, i: CASE WHEN g IS NOT NULL AND list_contains(g, i) THEN NULL ELSE x END), lambda x: x IS NOT NULL) AS kept
+                FROM w LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM pos""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
