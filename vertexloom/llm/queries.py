@@ -43,6 +43,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vertexloom.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vertexloom.llm import quality_bayes, quality_rules
 
