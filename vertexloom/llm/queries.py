@@ -43,6 +43,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vertexloom.llm import langid
+
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vertexloom.llm import simhash
 
