@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from vertexloom.llm.textops import NEWLINE, SPACE, Words, covered, mix, pieces, repeats, sums_by_text
 
 #: Labelled texts to learn from at most, the last third of them for calibration; buckets of each family of n-grams.
-SAMPLE, BITS, THRESHOLD = 2400, 12, 0.5
+SAMPLE, BITS, THRESHOLD = 1800, 11, 0.5
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _COUNTED = ((np.arange(256) & 0xC0) != 0x80) & ~SPACE
