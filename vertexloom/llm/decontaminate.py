@@ -16,6 +16,7 @@ gives none; extra columns are left out (`matches`) or kept (`clean`); a null ite
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -42,12 +43,7 @@ REMEMBERED = 300_000
 
 
 def _hash(text: str) -> int:
-    value = 0xCBF29CE484222325
-    data = text.encode("utf-8", "surrogatepass")
-    for i in range(0, len(data), 7):
-        value = (value ^ int.from_bytes(data[i : i + 7], "little") ^ (len(data) << 56)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        value ^= value >> 29
-    return value
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 class Codes(dict):
@@ -55,6 +51,12 @@ class Codes(dict):
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
+        most = text.strip(".,;")
+        if most.isalpha() and most.lower() not in _UNITS:  # nearly all words
+            code = (_hash(most.lower()) & ~15) | (NAME if most[0].isupper() and not most.isupper() else LITERAL) | (STOP if text[-1] == "." else 0)
+            if len(self) < REMEMBERED:
+                self[word] = code
+            return code
         stop = STOP if text.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", "…") else 0
         edge = _EDGES.sub("", text)
         plain = _TRIM.sub("", text)
