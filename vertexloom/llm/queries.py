@@ -35,6 +35,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vertexloom.llm import warc
+    from vertexloom.llm.scratch import Scratch
+
+    archive = warc.write(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
+    return warc.listing(warc.records(archive))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vertexloom.llm import quality_rules
 
@@ -87,7 +95,15 @@ def queries() -> dict[str, Query]:
 #: Words as lists.
 _WORDS = r"""w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
 
+#: Base32 of a SHA-1: each 5 hexadecimal digits are 4 digits of 5 bits.
+_BASE32 = """array_to_string(list_transform(range(1, 41, 5), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, i, 5) AS BIGINT) >> b) & 31) + 1 AS BIGINT), 1)), '')), '')"""
+
 ORACLES = {
+    "op2_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+            CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p""",
     "op9_substring_dedup": f"""
         WITH {_WORDS},
         starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
