@@ -43,6 +43,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.listing(warc.records(archive))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vertexloom.llm import token_files
+    from vertexloom.llm.scratch import Scratch
+
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), Scratch(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vertexloom.llm import quality_rules
 
