@@ -52,6 +52,21 @@ class WordTokenizer:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         self.size = self.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its packed ids. Many are encoded as one text: the last id of a word ends it."""
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.uint16)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):
+                one = [self.library.encode(w, add_special_tokens=False).ids for w in part]
+                ids = np.array([i for x in one for i in x], np.uint16)
+                cuts = np.cumsum([len(x) for x in one]).tolist()
+            data = ids.tobytes()
+            yield from zip(part, (data[2 * a : 2 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed 16-bit ids of each text. Words of Latin-1 texts are encoded apart; what else there is goes to the library whole."""
@@ -72,9 +87,8 @@ class WordTokenizer:
             found.append(got)
         if len(known) + len(new) > REMEMBERED and len(new) * 3 > sum(len(f) for f in found if isinstance(f, list)):
             known = self.known = {}
-        rare, words = {}, list(new)
-        for word, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            packed = np.array(e.ids, np.uint16).tobytes()
+        rare = {}
+        for word, packed in self.words(list(new)):
             rare[word] = packed
             if len(known) < REMEMBERED and len(word) <= REMEMBERED_BYTES:
                 known[word] = packed
