@@ -28,6 +28,7 @@ from vertexloom.llm.textops import pieces
 
 #: Texts to learn from for each language at most, about; landmarks in all; the ridge.
 PER_LANGUAGE, LANDMARKS, RIDGE = 500, 400, 1e-3
+SHARPNESS, LEAST_SCORE = 4.0, 0.3
 CLASSES = 48
 GRAMS = CLASSES + CLASSES**2 + CLASSES**3
 _ACCENTED = "àâáäæçèéêëìíîïñòóôöœùúûüÿß"
@@ -128,27 +129,48 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     return Model(languages, weights, solved[-1])
 
 
-def predict(docs: DataFrame, model: Model, sharpness: float = 4.0) -> DataFrame:
+def _answer(model: tuple, texts: list[str | None], sharpness: float) -> tuple[list[str], list[float]]:
+    languages, weights, bias = model
+    lang, score = [], []
+    for text in texts:
+        if not languages or not text or not _LETTER.search(text):
+            lang.append("und")
+            score.append(0.0)
+            continue
+        g = grams(text)
+        y = weights[g].sum(axis=0) / np.sqrt(len(g)) + bias
+        e = np.exp(sharpness * (y - y.max()))
+        best = int(y.argmax())
+        lang.append(languages[best])
+        score.append(float(e[best] / e.sum()))
+    return lang, score
+
+
+def _shared(docs: DataFrame, model: Model):
+    """The model for the workers: grams by languages, of fixed size for each language."""
+    return docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))
+
+
+def predict(docs: DataFrame, model: Model, sharpness: float = SHARPNESS) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the softmax share of the best language) for each row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))  # grams by languages, of fixed size for each language
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, weights, bias = shared.value
         for batch in pieces(batches, "text"):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            lang, score = [], []
-            for text in texts:
-                if not languages or not text or not _LETTER.search(text):
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                g = grams(text)
-                y = weights[g].sum(axis=0) / np.sqrt(len(g)) + bias
-                e = np.exp(sharpness * (y - y.max()))
-                best = int(y.argmax())
-                lang.append(languages[best])
-                score.append(float(e[best] / e.sum()))
+            lang, score = _answer(shared.value, batch.column(batch.schema.get_field_index("text")).to_pylist(), sharpness)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("held_out")), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE, sharpness: float = SHARPNESS) -> DataFrame:
+    """The rows of docs, with all their columns, that have a language: not `und`, and a score of `least` or more."""
+    shared = _shared(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            lang, score = _answer(shared.value, batch.column(batch.schema.get_field_index("text")).to_pylist(), sharpness)
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

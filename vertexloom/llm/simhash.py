@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexloom.llm.scratch import Scratch
@@ -38,6 +38,7 @@ SHINGLE, SIMILARITY, BITS = 5, 0.8, 256
 MEAN_BUCKET, CAP, SAMPLED, RECALL = 400, 2048, 40, 0.995
 #: Candidates of a text that are verified, and how far below the least similarity a fingerprint may put them.
 NEAREST, SLACK = 3, 0.15
+FIRST_ID = -(1 << 63)
 _SEEDS = np.array([0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(BITS // 64)], np.uint64)
 
 
@@ -77,7 +78,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.searchsorted(doc, np.arange(len(w.counts) + 1))
         found = [fingerprint(keys[a:b]) if b > a else np.zeros(BITS // 64, np.uint64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         data = w.data
-        digests = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
+        digests = [hashlib.sha256(data[a:b]).digest()[:16] for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(digests, pa.binary()), pa.array(np.diff(cuts)), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "digest", "n_shingles", "print"])
 
 
@@ -201,10 +202,12 @@ def _verified(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, cap: int = CAP) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), n_class (rows of the class) for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+def digest(text: str = "text") -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
+def _classes(docs: DataFrame, scratch: Scratch, similarity: float, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id and digest of each row; digest and class of each text; class, class_id, n_class and the representative's digest of each class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     prints = scratch.table(rows.mapInArrow(_prints, "doc_id long, digest binary, n_shingles long, print binary"), "prints")
     texts = scratch.table(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("print").alias("print")), "texts")
@@ -216,22 +219,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, cap: int =
     pairs = scratch.table(few.select("a", F.explode("near").alias("near")).select("a", F.col("near.b").alias("b")), "pairs")
     # the texts of candidates alone: their keys are joined first, then the text is moved once
     nodes = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    wanted = scratch.table(texts.join(nodes, "digest").select("digest", "doc_id"), "wanted")
-    body = scratch.table(wanted.join(rows.select(F.col("doc_id"), "text"), wanted["doc_id"].eqNullSafe(rows["doc_id"])).select("digest", "text").mapInArrow(_own, "digest binary, text string"), "bodies")
+    body = rows.withColumn("digest", digest()).join(nodes, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "text")
+    body = scratch.table(body, "bodies")
     left = pairs.join(body.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(body.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     links = scratch.table(both.mapInArrow(_verified(similarity), "a binary, b binary"), "links")
-    scratch.drop("bodies", "pairs", "wanted")
+    scratch.drop("bodies", "pairs")
     labels = scratch.table(star_components(links, scratch.table, scratch.drop), "labels")
     classes = scratch.table(texts.join(labels, texts["digest"] == labels["id"], "left").select("digest", "doc_id", "n", F.coalesce("label", "digest").alias("class")), "classes")
-    least = scratch.table(classes.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_class")), "least")
-    named = scratch.table(classes.join(least, "class").select("digest", "class_id", "n_class"), "named")
-    return prints.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "n_class")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    least = scratch.table(classes.groupBy("class").agg(first, F.sum("n").alias("n_class")).select("class", F.col("first.doc_id").alias("class_id"), "n_class", F.col("first.digest").alias("digest")), "least")
+    return prints.select("doc_id", "digest"), classes.select("digest", "class"), least
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the digest, since other texts may have the same doc_id."""
-    for batch in batches:
-        texts = batch.column(1)
-        good = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() == d for t, d in zip(texts.to_pylist(), batch.column(0).to_pylist(), strict=True)]
-        yield batch.filter(pa.array(good))
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, cap: int = CAP) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), n_class (rows of the class) for each row of docs (doc_id, text)."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows, classes, least = _classes(docs, scratch, similarity, cap)
+    named = scratch.table(classes.join(least.drop("digest"), "class").select("digest", "class_id", "n_class"), "named")
+    return rows.join(named, "digest").select("doc_id", "class_id", "n_class")
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY, cap: int = CAP) -> DataFrame:
+    """One row of docs, with all its columns, for each class: that with the least doc_id."""
+    _, _, least = _classes(docs, Scratch(docs.sparkSession, "simhash"), similarity, cap)
+    keys = least.select(F.coalesce("class_id", F.lit(FIRST_ID)).alias("__id"), F.col("digest").alias("__digest"))
+    kept = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), "__digest": digest()}).join(keys, ["__id", "__digest"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.lit(0)))
+    return kept.withColumn("__place", place).where("__place = 1").drop("__id", "__digest", "__place")

@@ -245,23 +245,30 @@ def _group(window: int):
     return run
 
 
+def _kept(batch: pa.RecordBatch) -> tuple[np.ndarray, list[int], list[str | None]]:
+    """The number of words of each text and of those removed, and the words that stay (None where all do)."""
+    w = Words.of(batch.column(batch.schema.get_field_index("text")))
+    data, kept, removed = w.data, [], []
+    for d, ranges in enumerate(batch.column(batch.schema.get_field_index("__ranges")).to_pylist()):
+        n = int(w.counts[d])
+        if not ranges:
+            kept.append(None)
+            removed.append(0)
+            continue
+        change = np.bincount([r["lo"] for r in ranges], minlength=n + 1) - np.bincount([r["hi"] for r in ranges], minlength=n + 1)
+        stay = np.cumsum(change)[:-1] == 0
+        words = bytes(data[w.offsets[d] : w.offsets[d + 1]]).split()
+        kept.append(b" ".join([x for x, s in zip(words, stay, strict=True) if s]).decode())
+        removed.append(n - int(stay.sum()))
+    return w.counts, removed, kept
+
+
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
-        w = Words.of(column("text"))
-        data, kept, removed = w.data, [], []
-        for d, ranges in enumerate(column("ranges").to_pylist()):
-            a, b = w.first[d], w.first[d + 1]
-            gone = np.zeros(b - a + 1, np.int32)
-            if ranges:
-                lo, hi = np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges])
-                np.add.at(gone, lo, 1)
-                np.add.at(gone, hi, -1)
-            stay = np.cumsum(gone)[:-1] == 0
-            words = bytes(data[w.offsets[d] : w.offsets[d + 1]]).split()
-            kept.append(b" ".join(words if stay.all() else [x for x, s in zip(words, stay, strict=True) if s]))
-            removed.append(int(b - a - stay.sum()))
-        yield pa.RecordBatch.from_arrays([column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        counts, removed, kept = _kept(batch)
+        texts = [k if k is not None else b" ".join(t.encode().split()).decode() for k, t in zip(kept, column("text").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, width_bits: int = WIDTH_BITS) -> DataFrame:
@@ -282,10 +289,35 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gra
     return local.unionByName(found)
 
 
+def _with_ranges(docs: DataFrame, *columns: str, **options: int) -> DataFrame:
+    """The columns and __ranges, for each row of docs."""
+    scratch = Scratch(docs.sparkSession, "substring")
+    keys = {"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), "__row": F.xxhash64(F.coalesce("text", F.lit("")))}
+    plain = docs.select(keys["__doc"].alias("doc"), keys["__row"].alias("row"), "text")
+    ranges = repeated_ranges(plain, scratch, **options).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges"))
+    ranges = ranges.withColumnsRenamed({"doc": "__doc", "row": "__row"})
+    return docs.select(*columns).withColumns(keys).join(ranges, ["__doc", "__row"], "left").select(*columns, "__ranges")
+
+
 def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width_bits: int = WIDTH_BITS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the words that stay, joined by blanks) for each row of docs (doc_id, text)."""
-    scratch = Scratch(docs.sparkSession, "substring")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(FIRST_ID)).cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = repeated_ranges(rows, scratch, window, gram, width_bits)
-    ranges = ranges.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return rows.join(ranges, ["doc", "row"], "left").select("doc_id", "text", "ranges").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_text string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = _with_ranges(plain, "doc_id", "text", window=window, gram=gram, width_bits=width_bits)
+    return rows.mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+def stripped(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width_bits: int = WIDTH_BITS) -> DataFrame:
+    """The rows of docs with all their columns. A text that loses words is what stays, joined by blanks; n_chars, if there, follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            _, _, kept = _kept(batch)
+            names = [n for n in batch.schema.names if n != "__ranges"]
+            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+            old = columns["text"].to_pylist()
+            columns["text"] = pa.array([t if k is None else k for t, k in zip(old, kept, strict=True)], pa.string())
+            if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
+                columns["n_chars"] = pa.array([c if k is None else len(k) for c, k in zip(columns["n_chars"].to_pylist(), kept, strict=True)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return _with_ranges(docs, *docs.columns, window=window, gram=gram, width_bits=width_bits).mapInArrow(run, docs.schema)
