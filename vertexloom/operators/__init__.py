@@ -1 +1 @@
-"""operators"""
+"""Operators on keyed tables and edges."""

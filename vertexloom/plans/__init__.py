@@ -1 +1 @@
-"""plans"""
+"""Iterative plans and algorithms."""

@@ -1 +1 @@
-"""sources"""
+"""Where graphs come from."""

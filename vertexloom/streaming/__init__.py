@@ -1 +1 @@
-"""streaming"""
+"""Graphs here are batch tables: the engine defines no streaming operator."""
