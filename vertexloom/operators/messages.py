@@ -70,4 +70,8 @@ def send_between(vertices: DataFrame, edges: DataFrame, messages: Callable[[Colu
 
 def reduce_pairwise(f: Callable[[Column, Column], Column]) -> Reduce:
     """A reducer from a binary function. It gathers the messages of an id, so a built-in aggregate is better wherever there is one."""
-    return lambda c: F.aggregate(F.slice(F.collect_list(c), 2, 2147483647), F.element_at(F.collect_list(c), 1), f)
+    def reduce(c: Column) -> Column:
+        all_ = F.collect_list(c)
+        return F.aggregate(F.slice(all_, F.lit(2), F.greatest(F.size(all_) - 1, F.lit(0))), F.element_at(all_, 1), f)
+
+    return reduce
