@@ -4,11 +4,12 @@ Two texts are linked if their sets of 5-word shingles have a Jaccard similarity
 
 1. Equal texts count once. A text gets a fingerprint of 256 bits, each the majority of that bit over its distinct shingles.
 2. Each of several tables samples 40 coordinates. Rows are sorted by table and sampled bits; texts that agree in the first bits are
-   a bucket, and a bucket of more than 2048 texts is divided by the bits that follow, down to texts that agree in all 40, which are
+   a bucket, and a bucket of more than 4096 texts is divided by the bits that follow, down to texts that agree in all 40, which are
    divided by number and held against their first one too. The number of first bits follows the number of texts, and the number of
    tables is what finds 99.5 % of pairs at similarity 0.8, more of closer ones.
-3. In a bucket each text is held against all smaller ones by distance, and the nearest within the limit becomes a candidate. So a
-   bucket gives at most one row for each of its texts and table. The three nearest of these few are kept.
+3. In a bucket each text is held against all smaller ones by distance. Those within the limit become candidates, all of them if they
+   are up to 16, else the two nearest: inside a large group of near copies no bucket gives all pairs, and every table gives a text
+   other neighbours, which hold the group together. Up to 64 candidates of a text, nearest first, are verified.
 4. Candidates are verified on the texts themselves, exactly, and verified links go into connected components.
 
 The range sort deals out rows in equal parts whatever the buckets' sizes.
@@ -26,18 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexloom.llm.scratch import Scratch
-from vertexloom.llm.textops import Words, mix, pieces, repeats
+from vertexloom.llm.textops import Words, mix, pieces, repeats, text_buffers
 from vertexloom.operators.components import star_components
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 256
 #: Texts in a bucket on average and at most; sampled coordinates of a table; the share of pairs at the least similarity to be found.
-MEAN_BUCKET, CAP, SAMPLED, RECALL = 400, 2048, 40, 0.995
-#: Candidates of a text that are verified, and how far below the least similarity a fingerprint may put them.
-NEAREST, SLACK = 3, 0.15
+MEAN_BUCKET, CAP, SAMPLED, RECALL = 1000, 4096, 40, 0.995
+#: First bits of a bucket at least; so corpora of up to half a million texts have the same tables.
+LEAST_BITS = 9
+#: A text with up to MANY smaller candidates in a bucket sends them all, one with more its FEW nearest; so many are verified at most.
+MANY, FEW, VERIFIED = 16, 2, 64
+#: How far below the least similarity a fingerprint may put a pair that is verified.
+SLACK = 0.15
+#: Bits of the bitmap that tells whose texts are wanted, as a power of two.
+FILTER_BITS = 27
 FIRST_ID = -(1 << 63)
 _SEEDS = np.array([0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(BITS // 64)], np.uint64)
 
@@ -89,7 +97,7 @@ def agreement(similarity: float) -> float:
 
 def plan(texts: int) -> tuple[int, int]:
     """The first bits of a bucket, and the number of tables."""
-    bits = min(SAMPLED - 8, max(4, math.ceil(math.log2(max(texts, 1) / MEAN_BUCKET))))
+    bits = min(SAMPLED - 8, max(LEAST_BITS, math.ceil(math.log2(max(texts, 1) / MEAN_BUCKET))))
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - agreement(SIMILARITY) ** bits))
 
 
@@ -127,8 +135,8 @@ def divided(keys: np.ndarray, shift: int, cap: int) -> Iterator[tuple[int, int,
             stack += [(x, y, s) for x, y in ((a, half), (half, b)) if x < y]
 
 
-def nearest_smaller(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the nearest one before it within the distance: rows, those, distances."""
+def near_smaller(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the rows before it within the distance, or the nearest few of many: rows, those, distances."""
     n = len(prints)
     rows, near, far = [], [], []
     for a in range(0, n, 256):
@@ -137,12 +145,17 @@ def nearest_smaller(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
         for plane in range(prints.shape[1]):
             d += np.bitwise_count(prints[a:b, plane, None] ^ prints[None, :b, plane])
         d[np.arange(b)[None, :] >= np.arange(a, b)[:, None]] = 9999
-        best = d.argmin(axis=1)
-        least = d[np.arange(b - a), best]
-        hit = np.flatnonzero(least <= most)
-        rows.append(hit + a)
-        near.append(best[hit])
-        far.append(least[hit])
+        hit = d <= most
+        many = hit.sum(axis=1) > MANY
+        if many.any():
+            at = np.flatnonzero(many)
+            few = np.argpartition(d[at], FEW - 1, axis=1)[:, :FEW]
+            hit[at] = False
+            hit[at[:, None], few] = True
+        i, j = np.nonzero(hit)
+        rows.append(i + a)
+        near.append(j)
+        far.append(d[i, j])
     return np.concatenate(rows), np.concatenate(near), np.concatenate(far)
 
 
@@ -158,7 +171,7 @@ def _candidates(bits: int, most: int, cap: int):
                     if alike and c > a:
                         at = np.r_[a, at]
                     at = at[np.argsort(digests[at])]
-                    row, near, far = nearest_smaller(prints[at], most)
+                    row, near, far = near_smaller(prints[at], most)
                     if len(row):
                         yield pa.RecordBatch.from_arrays([pa.array(digests[at][row].tolist(), pa.binary()), pa.array(digests[at][near].tolist(), pa.binary()), pa.array(far.astype(np.int32))], ["a", "b", "h"])
 
@@ -202,6 +215,30 @@ def _verified(similarity: float):
     return run
 
 
+def _bitmap(wanted: DataFrame) -> Broadcast:
+    """The first bits of the wanted digests: a bitmap of 16 MB, whatever their number."""
+    at = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - FILTER_BITS) + 1  # Spark numbers bits from 1
+    parts = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bitmap = bytearray(1 << (FILTER_BITS - 3))
+    for r in parts.collect():  # 4096 parts of 4 kB at most
+        begin = (r["part"] - 1) * 4096
+        bitmap[begin : begin + 4096] = r["bits"]
+    return wanted.sparkSession.sparkContext.broadcast(bytes(bitmap))
+
+
+def _wanted(bitmap: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for batch in pieces(batches, "text"):
+            data, offs = text_buffers(batch.column(1))
+            digests = [hashlib.sha256(data[a:b]).digest()[:16] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            at = np.frombuffer(b"".join(digests), ">u4")[::4].astype(np.int64) >> (32 - FILTER_BITS)
+            keep = pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(digests, pa.binary()).filter(keep), batch.column(1).filter(keep)], ["doc_id", "digest", "text"])
+
+    return run
+
+
 def digest(text: str = "text") -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
@@ -215,16 +252,19 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: float, cap: int) ->
     most = math.floor(BITS * (1 - agreement(similarity - SLACK)))
     sampled = texts.where("n_shingles > 0").select("digest", "print").mapInArrow(_rows(tables), "t int, key long, digest binary, print binary")
     found = sampled.repartitionByRange("t", "key", "digest").sortWithinPartitions("t", "key", "digest").mapInArrow(_candidates(bits, most, cap), "a binary, b binary, h int")
-    few = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("h", "b"))), 1, NEAREST).alias("near"))  # one row for each table at most
+    few = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("h", "b"))), 1, VERIFIED).alias("near"))  # MANY for each table at most
     pairs = scratch.table(few.select("a", F.explode("near").alias("near")).select("a", F.col("near.b").alias("b")), "pairs")
-    # the texts of candidates alone: their keys are joined first, then the text is moved once
+    # only the texts of candidates are moved: a bitmap of fixed size lets few others through, then the keys decide
     nodes = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    body = rows.withColumn("digest", digest()).join(nodes, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "text")
+    wanted = scratch.table(texts.select("digest", "doc_id").join(nodes, "digest"), "wanted")
+    rough = rows.mapInArrow(_wanted(_bitmap(wanted)), "doc_id long, digest binary, text string").withColumn("id", F.coalesce("doc_id", F.lit(FIRST_ID)))
+    keys = wanted.select("digest", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"))
+    body = rough.join(keys, ["digest", "id"], "left_semi").select("digest", "id", "text").dropDuplicates(["digest", "id"]).select("digest", "text")
     body = scratch.table(body, "bodies")
     left = pairs.join(body.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(body.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     links = scratch.table(both.mapInArrow(_verified(similarity), "a binary, b binary"), "links")
-    scratch.drop("bodies", "pairs")
+    scratch.drop("bodies", "pairs", "wanted")
     labels = scratch.table(star_components(links, scratch.table, scratch.drop), "labels")
     classes = scratch.table(texts.join(labels, texts["digest"] == labels["id"], "left").select("digest", "doc_id", "n", F.coalesce("label", "digest").alias("class")), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
