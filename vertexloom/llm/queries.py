@@ -117,6 +117,17 @@ ORACLES = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
         SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
             CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p""",
+    "op7_simhash_near_dedup": """
+        WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id FROM documents GROUP BY 1),
+        w AS (SELECT id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM t),
+        s AS (SELECT DISTINCT id, array_to_string(list_slice(ws, i, i + 4), ' ') AS k FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT id, count(*) AS c FROM s GROUP BY 1),
+        p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * p.c >= 8 * (x.c + y.c - p.c)),
+        sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        reach(v, l) AS (SELECT id, id FROM t UNION SELECT b, l FROM reach JOIN sides ON a = v),
+        class AS (SELECT v AS id, min(l) AS class_id FROM reach GROUP BY v)
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_class FROM documents JOIN t ON coalesce(documents.text, '') = t.text JOIN class USING (id)""",
     "op9_substring_dedup": f"""
         WITH {_WORDS},
         starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
