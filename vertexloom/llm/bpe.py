@@ -17,6 +17,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words that a worker remembers with their encodings, each of so many bytes at most.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 64
+REMEMBERED, REMEMBERED_BYTES = 200_000, 64
 #: The word pattern with the letters, numbers and white space of Latin-1 spelt out, since `re` is faster than `regex`.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _models: dict[str, TrieBPE] = {}
+_tables: dict[str, np.ndarray] = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -38,24 +40,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes of each id of a vocabulary file; those of special tokens are their strings."""
+    vocab, letters = spec["model"]["vocab"], byte_alphabet()
+    out = [b""] * (max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])]) + 1)
+    for t, i in vocab.items():
+        out[i] = bytes(letters[c] for c in t)
+    for a in spec["added_tokens"]:
+        out[a["id"]] = a["content"].encode()
+    return out
+
+
 class TrieBPE:
     """A byte-level vocabulary file of the tokenizers library, with ids in the order of the merges."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_alphabet()
-        raw = lambda token: bytes(letters[c] for c in token)
-        self.ids = {raw(t): i for t, i in vocab.items()}
-        size = max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])]) + 1
-        self.bytes: list[bytes] = [b""] * size
-        for t, i in self.ids.items():
-            self.bytes[i] = t
+        self.path, self.bytes = path, token_bytes(spec)
+        size = len(self.bytes)
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        for t, i in self.special.items():
-            self.bytes[i] = t.encode()
+        self.ids = {self.bytes[i]: i for i in vocab.values()}
         self.pairs: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int] | None] = [None] * size
         for merge in spec["model"]["merges"]:
@@ -67,7 +73,6 @@ class TrieBPE:
                 raise ValueError("the ids of this vocabulary are not in the order of its merges")
         self._automaton()
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.library = Tokenizer.from_file(path)
         self.letters = letters
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
@@ -162,6 +167,12 @@ class TrieBPE:
             before = word
             yield word, out
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens. The library splits what may depend on a newer Unicode table."""
         try:
@@ -245,7 +256,10 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
     """df with a column of the text that the ids stand for; special tokens are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.array(model(vocabulary).bytes, object)
+        if vocabulary not in _tables:
+            with open(vocabulary, encoding="utf-8") as f:
+                _tables[vocabulary] = np.array(token_bytes(json.load(f)), object)
+        table = _tables[vocabulary]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
