@@ -162,12 +162,13 @@ TEMPLATE = "Tom has 5 apples and gives 3 apples to Anna, so how many apples does
 
 def test_templates_and_slots():
     index = decontaminate.Index([(1, TEMPLATE), (2, "a b"), (3, None), (4, "the quick brown fox jumps"), (5, TEMPLATE)])
+    assert index.matches(TEMPLATE)[0] == (1, 19, 19, True)
+    # the name that begins a sentence is a literal, so it is not covered
     other = "Well. Bill has 12 apples and gives 7 apples to Mary, so how many apples does Bill have left now? Yes."
-    assert [m[0] for m in index.matches(other)] == [1, 5] and not index.matches(other)[0][3]
-    assert [m[0] for m in index.matches("x " + TEMPLATE.replace("Tom", "tom").replace("tom has", "Tom has"))] == [] or True
-    broken = other.replace("does Bill", "does Fred").replace("gives 7", "gives 12")
-    assert index.matches(broken) == [] or all(m[1] < 19 for m in index.matches(broken))
-    assert index.matches(TEMPLATE)[0] == (1, 19 - 0, len(decontaminate.template(TEMPLATE.encode().split())[0]), True) or index.matches(TEMPLATE)[0][3]
+    assert index.matches(other) == [(1, 18, 19, False), (5, 18, 19, False)]
+    # one number in the place of two, and one name in the place of two
+    assert index.matches(other.replace("gives 7", "gives 12")) == []
+    assert index.matches(other.replace("does Bill", "does Mary")) == []
     assert [m[0] for m in index.matches("So: The QUICK brown, fox jumps!")] == [4]
     for clean in (None, "", "a b", "Tom has 5 apples and gives them away", "1 2 3 4 5 6 7 8 9 10"):
         assert index.matches(clean) == []
@@ -278,4 +279,4 @@ def test_query_beside_its_sql(spark, name):
     got = queries.queries()[name](spark, SF)
     columns = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
-    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want, key=str) or sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want))
+    assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want))
