@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ from vertexloom.llm.textops import pieces
 END_ID, BLOCK_IDS = 1, 2_000_000
 #: Rounds of replacements, and the least count of a pair that is replaced.
 ROUNDS, LEAST = 4, 16
-REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+#: Words that a worker remembers with their ids, each of so many characters at most.
+REMEMBERED, REMEMBERED_CHARS = 700_000, 64
 MAGIC = b"RPG1"
 _L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
@@ -45,21 +47,31 @@ class WordTokenizer:
     """The tokenizers library, asked once for each word that a worker remembers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        if self.library.get_vocab_size() > 1 << 16:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.path = path
+        # for words that are normal and apart already, only their bytes and merges are left to do
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.size = self.plain.get_vocab_size()
+        if self.size > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self.size = self.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
         self.ends = np.zeros(self.size, bool)
-        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.ends[[i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")]] = True
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each word with its packed ids. Many are encoded as one text: the last id of a word ends it."""
         for at in range(0, len(words), 500):
             part = words[at : at + 500]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.uint16)
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(part):
                 one = [self.library.encode(w, add_special_tokens=False).ids for w in part]
@@ -79,20 +91,23 @@ class WordTokenizer:
                 except UnicodeEncodeError:
                     whole = True
             parts.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes() if whole else _SPLIT.findall(text.lower()))
-        known, found, new = self.known, [], set()
-        for part in parts:
-            got = part if isinstance(part, bytes) else list(map(known.get, part))
-            if isinstance(got, list) and None in got:
-                new.update(w for w, g in zip(part, got, strict=True) if g is None)
-            found.append(got)
-        if len(known) + len(new) > REMEMBERED and len(new) * 3 > sum(len(f) for f in found if isinstance(f, list)):
-            known = self.known = {}
-        rare = {}
-        for word, packed in self.words(list(new)):
-            rare[word] = packed
-            if len(known) < REMEMBERED and len(word) <= REMEMBERED_BYTES:
-                known[word] = packed
-        return [g if isinstance(g, bytes) else b"".join(g) if None not in g else b"".join([x if x is not None else rare[w] for w, x in zip(part, g, strict=True)]) for part, g in zip(parts, found, strict=True)]
+        known = self.known
+        lists = [p for p in parts if isinstance(p, list)]
+        new = set().union(*lists).difference(known)
+        known.update(self.words(list(new)))
+        get = known.__getitem__
+        out = [p if isinstance(p, bytes) else b"".join(map(get, p)) for p in parts]
+        if len(known) > REMEMBERED:
+            if len(new) * 3 > sum(map(len, lists)):
+                known.clear()  # what comes now differs from what was kept
+            else:
+                for word in new:
+                    del known[word]
+        else:
+            for word in new:
+                if len(word) > REMEMBERED_CHARS:
+                    del known[word]
+        return out
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, first_new: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
