@@ -24,8 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from vertexloom.llm.textops import pieces
+from vertexloom.llm.workers import claim
+
 #: Words that a worker remembers with their encodings, each of so many bytes at most.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
+REMEMBERED, REMEMBERED_BYTES = 150_000, 64
 #: The word pattern with the letters, numbers and white space of Latin-1 spelt out, since `re` is faster than `regex`.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -132,9 +135,9 @@ class TrieBPE:
         """Distinct words with their encodings, in sorted order: a depth-first walk of their trie whose path is kept in lists."""
         last, size, state, before = [-1], [0], [0], b""  # by depth: the last token of the prefix, its length, the automaton's state
         ends, fits, moves, step, apart = self.ends, self.fits, self.moves, self._step, self.apart
-        if len(fits) > 1 << 18:
+        if len(fits) > 1 << 17:
             fits.clear()
-        if len(moves) > 1 << 19:
+        if len(moves) > len(self.edges) + (1 << 17):
             moves = self.moves = dict(self.edges)
         for word in sorted(words):
             same, most = 0, min(len(word), len(before))
@@ -239,8 +242,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     """df with a column of token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from vertexloom.llm.textops import pieces
-
+        claim("bpe", _models.clear)
         bpe = model(vocabulary)
         gc.freeze()  # the tables of the model and the remembered words hold no cycles, so collecting need not visit them
         for batch in pieces(batches, text):
@@ -256,6 +258,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
     """df with a column of the text that the ids stand for; special tokens are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe-decode", _tables.clear)
         if vocabulary not in _tables:
             with open(vocabulary, encoding="utf-8") as f:
                 _tables[vocabulary] = np.array(token_bytes(json.load(f)), object)
@@ -271,3 +274,26 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
                 yield _with(part, decoded, pa.array(texts, pa.string()))
 
     return df.mapInArrow(run, _schema(df, decoded, T.StringType()))
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with ids instead of the text, and with what these ids decode to: encode and decode in one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _models.clear)
+        bpe = model(vocabulary)
+        gc.freeze()
+        table = np.array(bpe.bytes, object)
+        for batch in pieces(batches, text, 2 << 20):
+            at = batch.schema.get_field_index(text)
+            packed = bpe.encode([x or "" for x in batch.column(at).to_pylist()])
+            found = [np.frombuffer(p, np.int32) for p in packed]
+            offsets = np.zeros(len(packed) + 1, np.int32)
+            np.cumsum([len(x) for x in found], out=offsets[1:])
+            texts = [b"".join(table[x].tolist()).decode("utf-8", "replace") for x in found]
+            rest = pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at], [n for i, n in enumerate(batch.schema.names) if i != at])
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield _with(_with(rest, ids, values), decoded, pa.array(texts, pa.string()))
+
+    kept = T.StructType([f for f in df.schema.fields if f.name.lower() not in (text.lower(), ids.lower(), decoded.lower())])
+    return df.mapInArrow(run, T.StructType([*kept.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]))

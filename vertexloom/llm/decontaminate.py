@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.textops import WIDE, mix, pieces, powers
+from vertexloom.llm.workers import claim
 
 WINDOW, COVERED, LITERALS = 8, 13, 3
 #: Bytes of benchmark text that are sent to the workers at once.
@@ -39,7 +40,7 @@ _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 #: Kinds of words, in the low bits of their code; the bits above are a hash.
 LITERAL, NAME, NUMBER, UNIT, NOTHING, AMOUNT, STOP = 0, 1, 2, 3, 4, 5, 8
 _HOLE = {NAME: 11, NUMBER: 13, UNIT: 17, AMOUNT: 19}
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def _hash(text: str) -> int:
@@ -190,6 +191,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim("decontaminate", _codes.clear)
             index = Index(shared.value)
             for batch in pieces(batches, "text"):
                 found = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in index.matches(t)]
@@ -207,6 +209,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim("decontaminate", _codes.clear)
             index = Index(shared.value)
             for batch in pieces(batches, "text"):
                 yield batch.filter(pa.array([not index.matches(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.bool_()))

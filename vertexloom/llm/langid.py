@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.textops import pieces
+from vertexloom.llm.workers import alone
 
 #: Texts to learn from for each language at most, about; landmarks in all; the ridge.
 PER_LANGUAGE, LANDMARKS, RIDGE = 500, 400, 1e-3
@@ -77,6 +78,7 @@ class Model:
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone()
     for batch in pieces(batches, "text"):
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         found = [grams(t or "").astype(np.int32) for t in texts]
@@ -156,6 +158,7 @@ def predict(docs: DataFrame, model: Model, sharpness: float = SHARPNESS) -> Data
     shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in pieces(batches, "text"):
             lang, score = _answer(shared.value, batch.column(batch.schema.get_field_index("text")).to_pylist(), sharpness)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("held_out")), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -169,6 +172,7 @@ def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE, sharpn
     shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in pieces(batches, "text"):
             lang, score = _answer(shared.value, batch.column(batch.schema.get_field_index("text")).to_pylist(), sharpness)
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))

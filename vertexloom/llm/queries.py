@@ -21,8 +21,7 @@ def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode, decode from the ids, and digest both."""
     from vertexloom.llm import bpe
 
-    encoded = bpe.encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    return bpe.decode(encoded, vocabulary).select(
+    return bpe.round_trip(docs.select("doc_id", "text"), vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm.scratch import Scratch
 from vertexloom.llm.textops import Words, mix, pieces, repeats, text_buffers
+from vertexloom.llm.workers import alone
 from vertexloom.operators.components import star_components
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 256
@@ -80,6 +81,7 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone()
     for batch in pieces(batches, "text"):
         w = Words.of(batch.column(batch.schema.get_field_index("text")))
         keys, doc = shingles(w, w.hashes())

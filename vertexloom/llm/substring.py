@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm.scratch import Scratch
 from vertexloom.llm.textops import WIDE, Words, mix, pieces
+from vertexloom.llm.workers import alone
 
 WINDOW, GRAM = 20, 8
 #: Cells of each of two rows of the sketch, as a power of two; the count from which an anchor is frequent.
@@ -72,6 +73,7 @@ def occurrences(place: np.ndarray) -> np.ndarray:
 
 def _count(window: int, gram: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         waiting: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm.scratch import Scratch
 from vertexloom.llm.textops import pieces
+from vertexloom.llm.workers import claim
 
 END_ID, BLOCK_IDS = 1, 2_000_000
 #: Rounds of replacements, and the least count of a pair that is replaced.
@@ -262,6 +263,7 @@ def write(docs: DataFrame, scratch: Scratch, vocabulary: str, block_ids: int = B
     """The table of blocks of docs (doc_id, text), in ascending order of doc_id by part and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token-files", _tokenizers.clear)
         if vocabulary not in _tokenizers:
             _tokenizers[vocabulary] = WordTokenizer(vocabulary)
         tokenizer = _tokenizers[vocabulary]
