@@ -1,5 +1,6 @@
 """Near duplicates, substrings, decontamination, WARC and HTML: brute force and SQL, and odd rows."""
 
+import itertools
 import random
 from pathlib import Path
 
@@ -100,6 +101,20 @@ def test_buckets_are_divided_whole():
         assert 1 - (1 - simhash.agreement(0.8) ** bits) ** tables >= 0.995
 
 
+def test_all_pairs_of_an_oversized_bucket_meet(spark):
+    rows = spark.range(60).select(F.lit(3).alias("t"), (F.col("id") < 50).cast("long").alias("bucket"), F.unhex(F.md5(F.col("id").cast("string"))).alias("digest"))
+    cut = simhash.units(rows, Scratch(spark, "t"), 8)
+    sizes = [r["count"] for r in cut.groupBy("t", "bucket", "lo", "hi").count().collect()]
+    met = []
+    for _, group in itertools.groupby(sorted(cut.collect(), key=lambda r: r[:2] + (r.lo, r.hi)), lambda r: (r.bucket, r.lo, r.hi)):
+        group = list(group)
+        own = np.array([r.own for r in group])
+        for x, y, d in simhash.distances(np.zeros((len(group), 4), np.uint64), own):
+            i, j = np.nonzero(d == 0)
+            met += [frozenset((bytes(group[p].digest), bytes(group[q].digest))) for p, q in zip(x[i], y[j], strict=True)]
+    assert len(met) == len(set(met)) == 50 * 49 // 2 + 10 * 9 // 2 and max(sizes) < 50
+
+
 def brute_substring(rows, window=20):
     """rows: (doc_id, text). Removed words of each row."""
     first = {}

@@ -4,16 +4,11 @@ Two texts are linked if their sets of 5-word shingles have a Jaccard similarity
 
 1. Equal texts count once. A text gets a fingerprint of 256 bits, each the majority of that bit over its distinct shingles.
 2. Each of several tables samples 40 coordinates. Rows are sorted by table and sampled bits; texts that agree in the first bits are
-   a bucket, and a bucket of more than 4096 texts is divided by the bits that follow, down to texts that agree in all 40, which are
-   divided by number and held against their first one too. The number of first bits follows the number of texts, and the number of
+   a bucket. One of more than 4096 texts is cut into blocks, and every pair of blocks is a unit of work, so all its pairs meet. The number of first bits follows the number of texts, and the number of
    tables is what finds 99.5 % of pairs at similarity 0.8, more of closer ones.
-3. In a bucket each text is held against all smaller ones by distance. Those within the limit become candidates, all of them if they
-   are up to 16, else the two nearest: inside a large group of near copies no bucket gives all pairs, and every table gives a text
-   other neighbours, which hold the group together. Up to 64 candidates of a text, nearest first, are verified.
+3. In a unit all pairs are compared by distance. Those within the limit become candidates, of a text with many the nearest only.
 4. Candidates are verified on the texts themselves, exactly, and verified links go into connected components.
 
-The range sort deals out rows in equal parts whatever the buckets' sizes.
-
 Results, by case: null and empty texts and texts without words have no shingles and are like equal texts only (null counts as
 empty); a text of 1 to 4 words has one shingle; repeated rows and ties fall into one class, whose class_id is the least doc_id (null
 ids last); a table without rows gives none; extra columns are left out.
@@ -41,8 +36,8 @@ SHINGLE, SIMILARITY, BITS = 5, 0.8, 256
 MEAN_BUCKET, CAP, SAMPLED, RECALL = 1000, 4096, 40, 0.995
 #: First bits of a bucket at least; so corpora of up to half a million texts have the same tables.
 LEAST_BITS = 9
-#: A text with up to MANY smaller candidates in a bucket sends them all, one with more its FEW nearest; so many are verified at most.
-MANY, FEW, VERIFIED = 16, 2, 64
+#: A text with up to MANY candidates in 256 rows of a block sends them all at first, one with more its FEW nearest in either direction.
+MANY, FEW = 16, 1
 #: How far below the least similarity a fingerprint may put a pair that is verified.
 SLACK = 0.15
 #: Bits of the bitmap that tells whose texts are wanted, as a power of two.
@@ -122,6 +117,18 @@ def _rows(tables: int):
     return run
 
 
+def units(rows: DataFrame, scratch: Scratch, cap: int) -> DataFrame:
+    """rows (t, bucket, digest, ...) with own, lo, hi: a bucket of more than `cap` rows is cut into blocks, and each pair of blocks is a unit.
+
+    A row of a bucket of n blocks occurs in n units; unit lo = hi is a block by itself, the others hold one block against another.
+    """
+    large = scratch.table(rows.groupBy("t", "bucket").count().where(F.col("count") > cap).select("t", "bucket", F.ceil(F.col("count") / cap).cast("int").alias("n")), "large")
+    cut = rows.join(large, ["t", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    own = cut.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("n")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return other.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("n", "other")
+
+
 def divided(keys: np.ndarray, shift: int, cap: int) -> Iterator[tuple[int, int, bool]]:
     """Parts of sorted keys: (begin, end, whether they agree in all sampled bits). Parts of up to `cap` agree in keys >> shift."""
     stack = [(0, len(keys), shift)]
@@ -137,63 +144,96 @@ def divided(keys: np.ndarray, shift: int, cap: int) -> Iterator[tuple[int, int,
             stack += [(x, y, s) for x, y in ((a, half), (half, b)) if x < y]
 
 
-def near_smaller(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the rows before it within the distance, or the nearest few of many: rows, those, distances."""
-    n = len(prints)
-    rows, near, far = [], [], []
-    for a in range(0, n, 256):
-        b = min(a + 256, n)
-        d = np.zeros((b - a, b), np.uint16)
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray, list[list[bytes]]]]:
+    """Units of two rows or more out of sorted rows (t, bucket, lo, hi, own, digest, ...): key, own, digests, and lists of what follows."""
+    carry: list[pa.RecordBatch] = []
+    last = None
+
+    def unit() -> Iterator[tuple]:
+        if sum(x.num_rows for x in carry) > 1:
+            whole = pa.Table.from_batches(carry)
+            digests = np.frombuffer(b"".join(whole.column(5).to_pylist()), np.uint8).reshape(whole.num_rows, -1)
+            yield last, whole.column(4).to_numpy(), digests, [whole.column(i).to_pylist() for i in range(6, whole.num_columns)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1).astype(np.int64)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[a].tolist())
+            if key != last:
+                yield from unit()
+                carry = []
+            carry.append(batch.slice(a, b - a))
+            last = key
+    yield from unit()
+
+
+def distances(prints: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, other rows, their distances: all pairs of one block once, or of two blocks across; 9999 where there is no pair."""
+    two = own.min() != own.max()
+    left, right = (np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max()))
+    for a in range(0, len(left), 256):
+        x, y = left[a : a + 256], right if two else right[: a + 256]
+        d = np.zeros((len(x), len(y)), np.uint16)
         for plane in range(prints.shape[1]):
-            d += np.bitwise_count(prints[a:b, plane, None] ^ prints[None, :b, plane])
-        d[np.arange(b)[None, :] >= np.arange(a, b)[:, None]] = 9999
+            d += np.bitwise_count(prints[x, plane, None] ^ prints[None, y, plane])
+        if not two:
+            d[y[None, :] >= x[:, None]] = 9999
+        yield x, y, d
+
+
+def near_first(prints: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs within the distance, of crowded rows the nearest few in either direction only; whether there are such rows."""
+    pairs, above, crowded = [], [], False
+    for x, y, d in distances(prints, own):
         hit = d <= most
-        many = hit.sum(axis=1) > MANY
-        if many.any():
-            at = np.flatnonzero(many)
-            few = np.argpartition(d[at], FEW - 1, axis=1)[:, :FEW]
-            hit[at] = False
-            hit[at[:, None], few] = True
+        rows, columns = np.flatnonzero(hit.sum(axis=1) > MANY), np.flatnonzero(hit.sum(axis=0) > MANY)
+        if len(rows) or len(columns):
+            crowded = True
+            hit[rows] = False
+            hit[:, columns] = False
+            if len(rows):
+                hit[rows[:, None], np.argpartition(d[rows], FEW - 1, axis=1)[:, :FEW]] = True
+            if len(columns):
+                few = np.argpartition(d[:, columns], FEW - 1, axis=0)[:FEW]
+                above.append(np.stack([np.broadcast_to(y[columns], few.shape), x[few], d[few, columns]], -1).reshape(-1, 3))
         i, j = np.nonzero(hit)
-        rows.append(i + a)
-        near.append(j)
-        far.append(d[i, j])
-    return np.concatenate(rows), np.concatenate(near), np.concatenate(far)
+        pairs.append(np.stack([x[i], y[j]], 1))
+    if above:  # the nearest few of each column, over all its blocks
+        near = np.concatenate(above).astype(np.int64)
+        near = near[np.lexsort((near[:, 2], near[:, 0]))]
+        place = np.arange(len(near)) - np.searchsorted(near[:, 0], near[:, 0])
+        pairs.append(near[place < FEW][:, :2])
+    both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+    return both[:, 1], both[:, 0], crowded
+
+
+def _digests(digests: np.ndarray, at: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(at) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(digests[at].tobytes())])
 
 
-def _candidates(bits: int, most: int, cap: int):
+def _planes(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+
+
+_FOUND = "a binary, b binary, t int, bucket long, lo int, hi int"
+
+
+def _candidates(most: int):
+    """Candidates (a, b), and the unit (t, bucket, lo, hi) wherever some were left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[tuple[np.ndarray, ...]] = []
-
-        def bucket(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            keys, digests, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
-            for a, b, alike in divided(keys, SAMPLED - bits, cap):
-                for c in range(a, b, cap):
-                    at = np.arange(c, min(c + cap, b))
-                    if alike and c > a:
-                        at = np.r_[a, at]
-                    at = at[np.argsort(digests[at])]
-                    row, near, far = near_smaller(prints[at], most)
-                    if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(digests[at][row].tolist(), pa.binary()), pa.array(digests[at][near].tolist(), pa.binary()), pa.array(far.astype(np.int32))], ["a", "b", "h"])
-
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            digests = np.array(batch.column(2).to_pylist(), object)
-            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            group = t.astype(np.int64) << SAMPLED | key >> (SAMPLED - bits)
-            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1), len(group)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if last is not None and group[a] != last:
-                    yield from bucket(carry)
-                    carry = []
-                carry.append((key[a:b], digests[a:b], prints[a:b]))
-                last = group[a]
-        if carry:
-            yield from bucket(carry)
+        names = ["a", "b", "t", "bucket", "lo", "hi"]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        for key, own, digests, (prints,) in grouped(batches):
+            row, near, crowded = near_first(_planes(prints), own, most)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([_digests(digests, row), _digests(digests, near), *(pa.nulls(len(row), t) for t in types)], names)
+            if crowded:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([k], t) for k, t in zip(key, types, strict=True))], names)
 
     return run
 
@@ -245,6 +285,22 @@ def digest(text: str = "text") -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
+def _links(rows: DataFrame, texts: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float, name: str) -> DataFrame:
+    """Those of pairs (a, b) whose texts are as similar, by the texts themselves."""
+    # only the texts of candidates are moved: a bitmap of fixed size lets few others through, then the keys decide
+    nodes = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    wanted = scratch.table(texts.select("digest", "doc_id").join(nodes, "digest"), f"wanted-{name}")
+    rough = rows.mapInArrow(_wanted(_bitmap(wanted)), "doc_id long, digest binary, text string").withColumn("id", F.coalesce("doc_id", F.lit(FIRST_ID)))
+    keys = wanted.select("digest", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"))
+    body = rough.join(keys, ["digest", "id"], "left_semi").select("digest", "id", "text").dropDuplicates(["digest", "id"]).select("digest", "text")
+    body = scratch.table(body, f"bodies-{name}")
+    left = pairs.join(body.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(body.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    links = scratch.table(both.mapInArrow(_verified(similarity), "a binary, b binary"), f"links-{name}")
+    scratch.drop(f"bodies-{name}", f"wanted-{name}")
+    return links
+
+
 def _classes(docs: DataFrame, scratch: Scratch, similarity: float, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id and digest of each row; digest and class of each text; class, class_id, n_class and the representative's digest of each class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -253,20 +309,12 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: float, cap: int) ->
     bits, tables = plan(texts.count())
     most = math.floor(BITS * (1 - agreement(similarity - SLACK)))
     sampled = texts.where("n_shingles > 0").select("digest", "print").mapInArrow(_rows(tables), "t int, key long, digest binary, print binary")
-    found = sampled.repartitionByRange("t", "key", "digest").sortWithinPartitions("t", "key", "digest").mapInArrow(_candidates(bits, most, cap), "a binary, b binary, h int")
-    few = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("h", "b"))), 1, VERIFIED).alias("near"))  # MANY for each table at most
-    pairs = scratch.table(few.select("a", F.explode("near").alias("near")).select("a", F.col("near.b").alias("b")), "pairs")
-    # only the texts of candidates are moved: a bitmap of fixed size lets few others through, then the keys decide
-    nodes = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    wanted = scratch.table(texts.select("digest", "doc_id").join(nodes, "digest"), "wanted")
-    rough = rows.mapInArrow(_wanted(_bitmap(wanted)), "doc_id long, digest binary, text string").withColumn("id", F.coalesce("doc_id", F.lit(FIRST_ID)))
-    keys = wanted.select("digest", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"))
-    body = rough.join(keys, ["digest", "id"], "left_semi").select("digest", "id", "text").dropDuplicates(["digest", "id"]).select("digest", "text")
-    body = scratch.table(body, "bodies")
-    left = pairs.join(body.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(body.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    links = scratch.table(both.mapInArrow(_verified(similarity), "a binary, b binary"), "links")
-    scratch.drop("bodies", "pairs", "wanted")
+    sampled = units(sampled.withColumn("bucket", F.shiftright("key", SAMPLED - bits)), scratch, cap)
+    unit = ["t", "bucket", "lo", "hi"]
+    dealt = lambda df, *more: df.select(*unit, "own", "digest", *more).repartition(*unit).sortWithinPartitions(*unit, "digest")
+    found = scratch.table(dealt(sampled, "print").mapInArrow(_candidates(most), _FOUND), "found")
+    pairs = scratch.table(found.where("a is not null").select("a", "b").distinct(), "pairs")
+    links = _links(rows, texts, pairs, scratch, similarity, "first")
     labels = scratch.table(star_components(links, scratch.table, scratch.drop), "labels")
     classes = scratch.table(texts.join(labels, texts["digest"] == labels["id"], "left").select("digest", "doc_id", "n", F.coalesce("label", "digest").alias("class")), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
