@@ -1,5 +1,6 @@
 """Near duplicates, substrings, decontamination, WARC and HTML: brute force and SQL, and odd rows."""
 
+import hashlib
 import itertools
 import random
 from pathlib import Path
@@ -115,6 +116,20 @@ def test_all_pairs_of_an_oversized_bucket_meet(spark):
     assert len(met) == len(set(met)) == 50 * 49 // 2 + 10 * 9 // 2 and max(sizes) < 50
 
 
+def test_a_base_with_many_copies_that_are_far_from_each_other(spark):
+    rng = random.Random(11)
+    found = [prose(rng, 204) for _ in range(2000)]
+    base = max(found, key=lambda b: hashlib.sha256(" ".join(b).encode()).digest())  # so that the base is held against its copies
+    texts = [" ".join(base)]
+    for i in range(150):
+        c = list(base)
+        for at in rng.sample(range(4, 200, 10), 4):
+            c[at] = f"edit{i}"
+        texts.append(" ".join(c))
+    got = simhash.near_duplicates(docs_of(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(brute_classes(texts)))
+
+
 def brute_substring(rows, window=20):
     """rows: (doc_id, text). Removed words of each row."""
     first = {}

@@ -6,7 +6,9 @@ Two texts are linked if their sets of 5-word shingles have a Jaccard similarity
 2. Each of several tables samples 40 coordinates. Rows are sorted by table and sampled bits; texts that agree in the first bits are
    a bucket. One of more than 4096 texts is cut into blocks, and every pair of blocks is a unit of work, so all its pairs meet. The number of first bits follows the number of texts, and the number of
    tables is what finds 99.5 % of pairs at similarity 0.8, more of closer ones.
-3. In a unit all pairs are compared by distance. Those within the limit become candidates, of a text with many the nearest only.
+3. In a unit all pairs are compared by distance. Those within the limit become candidates; of a text with many, the nearest first.
+   When these are verified, every unit where some were left out is compared again, and all its pairs that no link connects so far
+   become candidates. Pairs that are connected change no class, so nothing is lost.
 4. Candidates are verified on the texts themselves, exactly, and verified links go into connected components.
 
 Results, by case: null and empty texts and texts without words have no shingles and are like equal texts only (null counts as
@@ -238,6 +240,24 @@ def _candidates(most: int):
     return run
 
 
+def _rest(most: int):
+    """All pairs (a, b) within the distance whose texts no verified link connects so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own, digests, (prints, labels) in grouped(batches):
+            number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+            if len(number) == 1:
+                continue
+            label = np.array([number[x] for x in labels])
+            for x, y, d in distances(_planes(prints), own):
+                i, j = np.nonzero((d <= most) & (label[x][:, None] != label[y][None, :]))
+                a, b = np.maximum(x[i], y[j]), np.minimum(x[i], y[j])
+                for at in range(0, len(a), 100_000):
+                    yield pa.RecordBatch.from_arrays([_digests(digests, a[at : at + 100_000]), _digests(digests, b[at : at + 100_000])], ["a", "b"])
+
+    return run
+
+
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,6 +335,13 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: float, cap: int) ->
     found = scratch.table(dealt(sampled, "print").mapInArrow(_candidates(most), _FOUND), "found")
     pairs = scratch.table(found.where("a is not null").select("a", "b").distinct(), "pairs")
     links = _links(rows, texts, pairs, scratch, similarity, "first")
+    crowded = found.where("a is null").select(*unit)
+    if not crowded.isEmpty():
+        labels = scratch.table(star_components(links, scratch.table, scratch.drop), "labels-first")
+        again = sampled.join(crowded, unit, "left_semi").join(labels.withColumnRenamed("id", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        rest = dealt(again, "print", "label").mapInArrow(_rest(most), "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
+        rest = scratch.table(rest, "rest")
+        links = links.union(_links(rows, texts, rest, scratch, similarity, "second"))
     labels = scratch.table(star_components(links, scratch.table, scratch.drop), "labels")
     classes = scratch.table(texts.join(labels, texts["digest"] == labels["id"], "left").select("digest", "doc_id", "n", F.coalesce("label", "digest").alias("class")), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
