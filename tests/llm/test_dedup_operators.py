@@ -130,6 +130,16 @@ def test_a_base_with_many_copies_that_are_far_from_each_other(spark):
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(brute_classes(texts)))
 
 
+def test_short_texts(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in (8, 8, 9, 12, 13, 16, 20, 24, 28) * 8:
+        words = prose(rng, n)
+        texts += [" ".join(words), " ".join([*words, "more"])]
+    got = simhash.near_duplicates(docs_of(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(brute_classes(texts)))
+
+
 def brute_substring(rows, window=20):
     """rows: (doc_id, text). Removed words of each row."""
     first = {}

@@ -11,6 +11,8 @@ Two texts are linked if their sets of 5-word shingles have a Jaccard similarity
    become candidates. Pairs that are connected change no class, so nothing is lost.
 4. Candidates are verified on the texts themselves, exactly, and verified links go into connected components.
 
+Texts of up to 24 shingles are not left to fingerprints: they meet in one of their least shingles and are compared exactly.
+
 Results, by case: null and empty texts and texts without words have no shingles and are like equal texts only (null counts as
 empty); a text of 1 to 4 words has one shingle; repeated rows and ties fall into one class, whose class_id is the least doc_id (null
 ids last); a table without rows gives none; extra columns are left out.
@@ -42,6 +44,8 @@ LEAST_BITS = 9
 MANY, FEW = 16, 1
 #: How far below the least similarity a fingerprint may put a pair that is verified.
 SLACK = 0.15
+#: Texts with up to so many shingles are found by the shingles themselves: few shingles bend the share of bits that agree.
+SMALL = 24
 #: Bits of the bitmap that tells whose texts are wanted, as a power of two.
 FILTER_BITS = 27
 FIRST_ID = -(1 << 63)
@@ -77,16 +81,18 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(keys)).view(np.uint64)
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, digest, n_shingles, print, and small: the shingles of a text with up to `most`, in order."""
     alone()
     for batch in pieces(batches, "text"):
         w = Words.of(batch.column(batch.schema.get_field_index("text")))
         keys, doc = shingles(w, w.hashes())
         cuts = np.searchsorted(doc, np.arange(len(w.counts) + 1))
         found = [fingerprint(keys[a:b]) if b > a else np.zeros(BITS // 64, np.uint64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        small = [np.sort(keys[a:b]).tobytes() if 0 < b - a <= most else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         data = w.data
         digests = [hashlib.sha256(data[a:b]).digest()[:16] for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(digests, pa.binary()), pa.array(np.diff(cuts)), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "digest", "n_shingles", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(digests, pa.binary()), pa.array(np.diff(cuts)), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(small, pa.binary())], ["doc_id", "digest", "n_shingles", "print", "small"])
 
 
 def agreement(similarity: float) -> float:
@@ -119,12 +125,12 @@ def _rows(tables: int):
     return run
 
 
-def units(rows: DataFrame, scratch: Scratch, cap: int) -> DataFrame:
+def units(rows: DataFrame, scratch: Scratch, cap: int, name: str = "large") -> DataFrame:
     """rows (t, bucket, digest, ...) with own, lo, hi: a bucket of more than `cap` rows is cut into blocks, and each pair of blocks is a unit.
 
     A row of a bucket of n blocks occurs in n units; unit lo = hi is a block by itself, the others hold one block against another.
     """
-    large = scratch.table(rows.groupBy("t", "bucket").count().where(F.col("count") > cap).select("t", "bucket", F.ceil(F.col("count") / cap).cast("int").alias("n")), "large")
+    large = scratch.table(rows.groupBy("t", "bucket").count().where(F.col("count") > cap).select("t", "bucket", F.ceil(F.col("count") / cap).cast("int").alias("n")), name)
     cut = rows.join(large, ["t", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     own = cut.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("n")).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -258,6 +264,50 @@ def _rest(most: int):
     return run
 
 
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j), j < i, that connect all sets which pairs of this similarity connect."""
+    owner, size = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.array([len(x) for x in sets])
+    keys = np.concatenate(sets)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    label, out = np.arange(len(sets)), []
+    for i, own in enumerate(sets):
+        lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        same = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(sets))[:i]
+        good = np.flatnonzero((same > 0) & (same >= similarity * (size[i] + size[:i] - same) - 1e-9))
+        for k, j in zip(*np.unique(label[good], return_index=True), strict=True):
+            out.append((i, int(good[j])))
+            label[label == k] = label[i]
+    return out
+
+
+def _small_rows(similarity: float):
+    """(bucket, digest, small) for each shingle of the prefix: two sets of this similarity have one of their least shingles in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets, at = [], []
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                keys = np.frombuffer(x, np.uint64)
+                first = len(keys) - math.ceil(similarity * len(keys) - 1e-9) + 1
+                buckets.append(keys[:first].view(np.int64))
+                at += [i] * len(buckets[-1])
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets) if buckets else np.zeros(0, np.int64)), batch.column(0).take(taken), batch.column(1).take(taken)], ["bucket", "digest", "small"])
+
+    return run
+
+
+def _small_links(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, digests, (sets,) in grouped(batches):
+            found = np.array(alike([np.frombuffer(x, np.uint64) for x in sets], similarity), np.int64).reshape(-1, 2)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([_digests(digests, found[:, 0]), _digests(digests, found[:, 1])], ["a", "b"])
+
+    return run
+
+
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,11 +374,12 @@ def _links(rows: DataFrame, texts: DataFrame, pairs: DataFrame, scratch: Scratch
 def _classes(docs: DataFrame, scratch: Scratch, similarity: float, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id and digest of each row; digest and class of each text; class, class_id, n_class and the representative's digest of each class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = scratch.table(rows.mapInArrow(_prints, "doc_id long, digest binary, n_shingles long, print binary"), "prints")
-    texts = scratch.table(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("print").alias("print")), "texts")
+    reach = math.floor(SMALL / similarity + 1e-9)  # shingles of a text that is as similar to a small one, at most
+    prints = scratch.table(rows.mapInArrow(lambda x: _prints(x, reach), "doc_id long, digest binary, n_shingles long, print binary, small binary"), "prints")
+    texts = scratch.table(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("print").alias("print"), F.max("small").alias("small")), "texts")
     bits, tables = plan(texts.count())
     most = math.floor(BITS * (1 - agreement(similarity - SLACK)))
-    sampled = texts.where("n_shingles > 0").select("digest", "print").mapInArrow(_rows(tables), "t int, key long, digest binary, print binary")
+    sampled = texts.where(F.col("n_shingles") > SMALL).select("digest", "print").mapInArrow(_rows(tables), "t int, key long, digest binary, print binary")
     sampled = units(sampled.withColumn("bucket", F.shiftright("key", SAMPLED - bits)), scratch, cap)
     unit = ["t", "bucket", "lo", "hi"]
     dealt = lambda df, *more: df.select(*unit, "own", "digest", *more).repartition(*unit).sortWithinPartitions(*unit, "digest")
@@ -342,6 +393,9 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: float, cap: int) ->
         rest = dealt(again, "print", "label").mapInArrow(_rest(most), "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
         rest = scratch.table(rest, "rest")
         links = links.union(_links(rows, texts, rest, scratch, similarity, "second"))
+    short = texts.where("small is not null").select("digest", "small").mapInArrow(_small_rows(similarity), "bucket long, digest binary, small binary").withColumn("t", F.lit(-1))
+    short = units(short, scratch, cap, "large-small")
+    links = links.union(scratch.table(dealt(short, "small").mapInArrow(_small_links(similarity), "a binary, b binary"), "links-small"))
     labels = scratch.table(star_components(links, scratch.table, scratch.drop), "labels")
     classes = scratch.table(texts.join(labels, texts["digest"] == labels["id"], "left").select("digest", "doc_id", "n", F.coalesce("label", "digest").alias("class")), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
