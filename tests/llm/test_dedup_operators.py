@@ -214,6 +214,21 @@ def test_templates_and_slots():
         assert index.matches(clean) == []
 
 
+def test_a_slot_that_conflicts_loses_its_own_windows_only():
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50)]
+    plain = list(words)
+    plain[10] = plain[40] = "5"
+    index = decontaminate.Index([(1, " ".join(plain)), (2, "12 7 19 33 2 8"), (3, "alpha " + " ".join(map(str, range(20, 40))))])
+    altered = list(plain)
+    altered[40] = "6"
+    assert index.matches(" ".join(altered)) == [(1, 49, 50, True)]
+    altered[10] = "7"  # two values for one: neither slot is consistent, what stands between and around them is verbatim
+    assert index.matches(" ".join(altered)) == [(1, 48, 50, True)]
+    assert index.matches("so 12 7 19 33 2 8 it is") == [(2, 6, 6, True)]
+    assert index.matches("so 12 7 19 33 2 9 it is") == []
+    assert index.matches("alpha " + " ".join(map(str, range(20, 40)))) == [(3, 21, 21, True)]
+
+
 def test_decontamination_in_blocks(spark):
     rng = random.Random(8)
     items = [(i, " ".join(prose(rng, 30))) for i in range(12)] + [(None, None), (99, "")]

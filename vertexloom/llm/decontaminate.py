@@ -2,14 +2,16 @@
 
 A text becomes a sequence of literals (lower-cased words without punctuation at their ends) and typed placeholders: numbers, units
 after a number, and names (capitalised words inside a sentence). Windows of 8 are hash-joined with those of the benchmark items. The
-matches of a document and an item are lined up by their distance, and a line counts only where its slots are consistent: one value of
-a placeholder in the item stands for one value in the document throughout, and the reverse, as in a question asked anew with other
-parameters. A document is contaminated by an item if consistent lines cover 13 of the item's words, or all of a shorter item.
+matches of a document and an item are lined up by their distance, and a window counts only where its slots are consistent along the
+line: one value of a placeholder in the item stands for one value in the document, and the reverse, as in a question asked anew with
+other parameters. A window that has the item's own values counts always; one with fewer than 3 literals counts only so. A document is
+contaminated by an item if windows that count cover 13 of the item's words, or all of a shorter item.
 
 The benchmark is taken in blocks of a bounded number of bytes, each sent to the workers and held against all documents; documents are
 not shuffled.
 
-Results, by case: null and empty texts match nothing; an item of fewer than 3 literals is never matched; an item of fewer than 8 words
+Results, by case: null and empty texts match nothing; an item of fewer than 3 words is never matched, one of fewer
+than 3 literals by its exact words only; an item of fewer than 8 words
 is matched as a whole; a text of any length is read whole; repeated rows and items each give their own rows; a table without rows
 gives none; extra columns are left out (`matches`) or kept (`clean`); a null item_id stays null.
 """
@@ -82,8 +84,8 @@ class Codes(dict):
 _codes = Codes()
 
 
-def template(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words that count, their kinds, and the hash of each as a template has it."""
+def template(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words that count, their kinds, the hash of each as a template has it, and that of the word itself."""
     code = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
     kind = (code & np.uint64(7)).astype(np.int8)
     stop = (code & np.uint64(STOP)) > 0
@@ -99,11 +101,11 @@ def template(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = code.copy()
     for k, value in _HOLE.items():
         hashes[kind == k] = value
-    return at, kind, mix(hashes)
+    return at, kind, mix(hashes), mix(code)
 
 
-def windows(hashes: np.ndarray, kind: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows of k with enough literals begin, and their hashes."""
+def windows(hashes: np.ndarray, kind: np.ndarray, k: int, few: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of k with enough literals begin, or with too few, and their hashes."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -111,7 +113,7 @@ def windows(hashes: np.ndarray, kind: np.ndarray, k: int) -> tuple[np.ndarray, n
     sums, plain = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.int64)
     np.cumsum(hashes * up[:n], out=sums[1:])
     np.cumsum(kind == LITERAL, out=plain[1:])
-    at = np.flatnonzero(plain[k:] - plain[:-k] >= min(k, LITERALS))
+    at = np.flatnonzero((plain[k:] - plain[:-k] >= min(k, LITERALS)) != few)
     return at, mix((sums[at + k] - sums[at]) * down[at]) ^ np.uint64(k)
 
 
@@ -121,16 +123,18 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.items = [(i, (t or "").encode("utf-8", "replace").split()) for i, t in items]
         self.parts = [template(w) for _, w in self.items]
-        keys, owner, place, self.lengths = [], [], [], set()
-        for n, (_, kind, hashes) in enumerate(self.parts):
+        keys, owner, place, self.lengths = [], [], [], set()  # lengths of windows, and whether they are of few literals
+        for n, (_, kind, hashes, exact) in enumerate(self.parts):
             k = min(WINDOW, len(hashes))
-            if (kind == LITERAL).sum() < LITERALS:
+            if k < LITERALS:
                 continue
-            at, key = windows(hashes, kind, k)
-            self.lengths.add(k)
-            keys.append(key)
-            owner.append(np.full(len(at), n))
-            place.append(at)
+            for few in (False, True):
+                at, key = windows(exact if few else hashes, kind, k, few)
+                if len(at):
+                    self.lengths.add((k, few))
+                keys.append(key)
+                owner.append(np.full(len(at), n))
+                place.append(at)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         key, owner, place = cat(keys, np.uint64), cat(owner, np.int64), cat(place, np.int64)
         order = np.argsort(key, kind="stable")
@@ -143,34 +147,40 @@ class Index:
         words = (text or "").encode("utf-8", "replace").split()
         if not words or not len(self.key):
             return []
-        at, kind, hashes = template(words)
+        at, kind, hashes, exact_hashes = template(words)
         hits = []
-        for k in self.lengths:
-            where, key = windows(hashes, kind, k)
+        for k, few in self.lengths:
+            where, key = windows(exact_hashes if few else hashes, kind, k, few)
             near = self.may[(key >> np.uint64(42)).astype(np.int64)]
             where, key = where[near], key[near]
             lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
             for p, a, b in zip(where[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
-                hits += [(int(self.owner[x]), int(p - self.place[x]), int(self.place[x]), k) for x in range(a, b)]
-        lines: dict[tuple[int, int], set[int]] = {}
-        for n, line, place, k in hits:
+                hits += [(int(self.owner[x]), int(p - self.place[x]), int(self.place[x]), k, few) for x in range(a, b)]
+        lines: dict[tuple[int, int], list[tuple[int, bool]]] = {}
+        for n, line, place, k, few in hits:
             if min(WINDOW, len(self.parts[n][2])) == k:
-                lines.setdefault((n, line), set()).update(range(place, place + k))
+                lines.setdefault((n, line), []).append((place, few))
         covered: dict[int, set[int]] = {}
         same: dict[int, bool] = {}
-        for (n, line), places in sorted(lines.items()):
-            own = self.items[n][1]
-            item_at, item_kind, _ = self.parts[n]
-            there, back, exact = {}, {}, True
-            for p in sorted(places):
+        for (n, line), begins in sorted(lines.items()):
+            own, k = self.items[n][1], min(WINDOW, len(self.parts[n][2]))
+            item_at, item_kind = self.parts[n][:2]
+            slots: dict[int, tuple] = {}
+            for p in {p for begin, _ in begins for p in range(begin, begin + k)}:
                 if item_kind[p] != LITERAL:
-                    u, v = (_EDGES.sub("", x.decode("utf-8", "replace")).lower() for x in (own[item_at[p]], words[at[line + p]]))
-                    if there.setdefault((item_kind[p], u), v) != v or back.setdefault((item_kind[p], v), u) != u:
-                        break
-                    exact &= u == v
-            else:
-                covered.setdefault(n, set()).update(places)
-                same[n] = same.get(n, True) and exact
+                    slots[p] = tuple((int(item_kind[p]), _EDGES.sub("", x.decode("utf-8", "replace")).lower()) for x in (own[item_at[p]], words[at[line + p]]))
+            there, back = {}, {}
+            for begin, few in begins:
+                if not few:
+                    for u, v in (slots[p] for p in range(begin, begin + k) if p in slots):
+                        there.setdefault(u, set()).add(v)
+                        back.setdefault(v, set()).add(u)
+            for begin, few in begins:
+                inside = [slots[p] for p in range(begin, begin + k) if p in slots]
+                exact = all(u == v for u, v in inside)
+                if exact or not few and all(len(there[u]) == 1 == len(back[v]) for u, v in inside):
+                    covered.setdefault(n, set()).update(range(begin, begin + k))
+                    same[n] = same.get(n, True) and exact
         return [(self.items[n][0], len(c), len(self.parts[n][2]), same[n]) for n, c in sorted(covered.items()) if len(c) >= min(COVERED, len(self.parts[n][2]))]
 
 
