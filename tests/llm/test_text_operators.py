@@ -187,3 +187,16 @@ def test_string_kernel_is_what_the_weights_hold():
     letters = lambda t: re.sub("[^a-z]+", " ", t.lower())
     spans = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
     assert len(a & b) == len(spans(letters("Abc abd")) & spans(letters("abc"))) and len(a) == len(spans("abc abd"))
+
+
+def test_quality_model_learns_whole_sample_without_dense_rows():
+    assert (quality_rules.SAMPLE, quality_rules.BITS) == (2400, 12)
+    rng = np.random.default_rng(3)
+    index = [np.sort(rng.choice(5000, rng.integers(0, 60), replace=False)).astype(np.int32) for _ in range(50)]
+    value = [rng.random(len(i)).astype(np.float32) for i in index]
+    dense = np.zeros((50, 5000))
+    for row, i, v in zip(dense, index, value, strict=True):
+        row[i] = v
+    x, alpha, weights = quality_rules.Sparse(index, value, 5000), rng.random(30), rng.random(5000)
+    assert np.allclose(x.gram(30), dense[:30] @ dense[:30].T, atol=1e-4)
+    assert np.allclose(x.weighted(alpha), dense[:30].T @ alpha) and np.allclose(x.times(weights), dense @ weights)

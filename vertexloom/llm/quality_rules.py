@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from vertexloom.llm.textops import NEWLINE, SPACE, Words, covered, mix, pieces, repeats, sums_by_text
 
 #: Labelled texts to learn from at most, the last third of them for calibration; buckets of each family of n-grams.
-SAMPLE, BITS, THRESHOLD = 1800, 11, 0.5
+SAMPLE, BITS, THRESHOLD = 2400, 12, 0.5
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _COUNTED = ((np.arange(256) & 0xC0) != 0x80) & ~SPACE
@@ -109,16 +109,43 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     dense[f << BITS : (f + 1) << BITS] = np.bincount(buckets[begins[d] : ends[d]], minlength=1 << BITS) / (ends[d] - begins[d])
             dense[-1] = share[d]
             at = np.flatnonzero(dense)
-            index.append(at.astype(np.int32))
-            value.append(dense[at])
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), batch.column(batch.schema.get_field_index("place")), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["label", "place", "index", "value"])
+            index.append(at.astype(np.int32).tobytes())
+            value.append(dense[at].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), batch.column(batch.schema.get_field_index("place")), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["label", "place", "index", "value"])
+
+
+class Sparse:
+    """Rows of indices and values: only a block of columns is ever dense."""
+
+    def __init__(self, index: list[np.ndarray], value: list[np.ndarray], size: int):
+        self.row = np.repeat(np.arange(len(index), dtype=np.int32), [len(i) for i in index])
+        self.index, self.value = np.concatenate(index), np.concatenate(value)
+        self.rows, self.size = len(index), size
+
+    def gram(self, rows: int, block: int = 1024) -> np.ndarray:
+        """The products of the first rows with each other."""
+        out = np.zeros((rows, rows))
+        for a in range(0, self.size, block):
+            at = np.flatnonzero((self.index >= a) & (self.index < a + block) & (self.row < rows))
+            dense = np.zeros((rows, block), np.float32)
+            dense[self.row[at], self.index[at] - a] = self.value[at]
+            out += dense @ dense.T
+        return out
+
+    def weighted(self, alpha: np.ndarray) -> np.ndarray:
+        """The sum of the first rows, each times its alpha."""
+        n = int(np.searchsorted(self.row, len(alpha)))
+        return np.bincount(self.index[:n], self.value[:n] * alpha[self.row[:n]], self.size)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * weights[self.index], self.rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, ridge: float = 2e-5) -> Model:
     """docs: doc_id, text; labels: doc_id and the label column, 1 for good. Learns from at most `sample` rows, taken by a hash."""
     chosen = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"), F.abs(F.xxhash64(F.col("doc_id"), F.lit(7))).alias("place")).orderBy("place", "doc_id").limit(sample)
     # at most `sample` rows of three numbers are broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "place", "text").mapInArrow(_vectors, "label int, place long, index array<int>, value array<float>").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "place", "text").mapInArrow(_vectors, "label int, place long, index binary, value binary").toPandas()
     rows = rows.sort_values("place", kind="stable").reset_index(drop=True)
     y = rows["label"].to_numpy(np.float64)
     size = (4 << BITS) + 1
@@ -126,13 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         prior = float(y.mean()) if len(y) else 1.0
         return Model(np.zeros(size), float(np.log((prior + 1e-9) / (1 - prior + 1e-9))), prior)
     cut = len(y) * 2 // 3
-    x = np.zeros((len(y), size), np.float32)
-    for i, (at, v) in enumerate(zip(rows["index"], rows["value"], strict=True)):
-        x[i, at] = v
+    x = Sparse([np.frombuffer(r, np.int32) for r in rows["index"]], [np.frombuffer(r, np.float32) for r in rows["value"]], size)
+    del rows
     if len(set(y[:cut])) < 2 or len(set(y[cut:])) < 2:
         cut = len(y)
-    train, t = x[:cut], y[:cut]
-    gram = (train @ train.T).astype(np.float64) + 0.01  # the constant: a bias that is hardly shrunk
+    t = y[:cut]
+    gram = x.gram(cut) + 0.01  # the constant: a bias that is hardly shrunk
     alpha = np.zeros(cut)
     for _ in range(12):
         f = gram @ alpha
@@ -142,10 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         alpha += step
         if np.abs(gram @ step).max() < 1e-3:
             break
-    weights, bias = train.T.astype(np.float64) @ alpha, 0.01 * alpha.sum()
+    weights, bias = x.weighted(alpha), 0.01 * alpha.sum()
     # Platt scaling, on the rows not trained on if there are such
     rest = slice(cut, None) if cut < len(y) else slice(None)
-    s, t = x[rest].astype(np.float64) @ weights + bias, y[rest]
+    s, t = x.times(weights)[rest] + bias, y[rest]
     good, bad = t.sum(), len(t) - t.sum()
     t = np.where(t == 1, (good + 1) / (good + 2), 1 / (bad + 2))
     a = np.array([1.0, 0.0])
