@@ -305,6 +305,14 @@ def test_main_text(spark):
     assert [r.text for r in again] == ["", ""]
 
 
+def test_copies_of_a_page_keep_what_other_pages_do_not_have(spark):
+    body = "<div>Menu</div><p>{}</p><div>Copyright</div>"
+    rows = [(i, f"http://h.com/a?q={i}", body.format("Copied")) for i in range(5)] + [(5, "http://h.com/b", body.format("Other"))]
+    rows += [(i, f"http://mirrors.com/a{i}", body.format("Mirror")) for i in (6, 7)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys(range(5), "Copied") | {5: "Other"} | dict.fromkeys((6, 7), "Menu\nMirror\nCopyright")
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(60):

@@ -3,14 +3,14 @@
 Page differencing alone cannot give the article: a paragraph that two pages of a host share would go, and an advert that no neighbour
 has would stay. So what a page itself says comes first. Lines inside navigation, header, footer, aside, form, advert, notice, comment
 and like elements are dropped; if the page has an article or main element, the lines inside it are the text. A page that has none is
-settled by difference: pages are sorted by host and path over the cluster, the page is paired with that neighbour in its host whose
-path shares more segments, the lines outside articles of both are aligned by a longest common subsequence, and the shared are deleted.
+settled by difference: pages with different lines are sorted by host and path over the cluster (copies count once, at the least path),
+the page is paired with that neighbour in its host whose path shares more segments, the lines outside articles of both are aligned by a longest common subsequence, and the shared are deleted.
 
 Only keys are sorted; ranks come from one count for each partition, so a host that holds a third of all pages is spread like any other.
 
 Results, by case: a null or empty html gives the empty text; a page whose host has no other page keeps its lines; a null url is a host
-of its own with other null urls; repeated rows and ties of the path stand side by side in any order, and a page paired with a copy of
-itself loses all lines outside an article; a tag that is cut off at the end is dropped; a table without rows gives none; extra columns
+of its own with other null urls; a page whose host has only copies of it keeps its lines, but rows of one url that are all the host has
+lose them as each other's copies; a tag that is cut off at the end is dropped; a table without rows gives none; extra columns
 are left out.
 """
 
@@ -212,7 +212,14 @@ def extract(pages: DataFrame) -> DataFrame:
     done = parsed.where("settled").select("page_id", "url", "text")
     if parsed.where("not settled").isEmpty():
         return done
-    near = scratch.table(neighbours(parsed.select("uid", "host", "path", "settled"), scratch), "near")
-    free = parsed.where("not settled").select("uid", "page_id", "url", F.col("free").alias("own"))
-    with_other = free.join(near, "uid", "left").join(parsed.select(F.col("uid").alias("other"), F.col("free").alias("lines")), "other", "left")
+    # copies count once: a page is held against the nearest page of its host whose lines differ
+    lines_key = F.sha2(F.concat_ws("\n", "free"), 256).alias("key")
+    one_url = F.coalesce(F.min("url").eqNullSafe(F.max("url")), F.lit(True)) & (F.count("*") > 1)
+    groups = parsed.select("uid", "url", "host", "path", "settled", lines_key).groupBy("host", "key").agg(F.min(F.struct("path", "uid")).alias("first"), F.min("settled").alias("settled"), one_url.alias("repeated"))
+    groups = scratch.table(groups.select("host", "key", F.col("first.uid").alias("uid"), F.col("first.path").alias("path"), "settled", "repeated"), "groups")
+    near = scratch.table(neighbours(groups.select("uid", "host", "path", "settled"), scratch), "near")
+    other = groups.join(near, "uid", "left").select("host", "key", F.coalesce("other", F.when(F.col("repeated"), F.col("uid"))).alias("other"))
+    other = scratch.table(other.join(parsed.select(F.col("uid").alias("other"), F.col("free").alias("lines")), "other", "left").select("host", "key", "lines"), "other")
+    free = parsed.where("not settled").select("page_id", "url", "host", lines_key, F.col("free").alias("own"))
+    with_other = free.join(other, ["host", "key"], "left")
     return done.union(with_other.select("page_id", "url", "own", "lines").mapInArrow(_difference, "page_id long, url string, text string"))
