@@ -238,3 +238,26 @@ def test_results_do_not_depend_on_partitions(spark):
     many = Graph.from_edges(edges(spark, M1 * 3).repartition(7))
     send = lambda _, a, k: a * k
     assert rows(one.send_along(send, F.sum)) == rows(many.send_along(send, F.sum))
+
+
+def test_components_of_the_whole_seq_graph(spark):
+    from pathlib import Path
+
+    from vertexloom import catalog
+
+    where = "/root/testdata/sf0.001"
+    if not Path(where).is_dir():
+        pytest.skip("the driver's tables are not here")
+    edges = catalog.seq_edges(spark, where)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in edges.collect():
+        a, b = sorted((root(r.src), root(r.dst)))
+        parent[b] = a
+    got = catalog.algorithms.connected_components(catalog.Graph.from_edges(edges)).vertices
+    assert {r.id: r.attr for r in got.collect()} == {x: root(x) for x in list(parent)}
