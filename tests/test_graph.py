@@ -1,5 +1,7 @@
 """Operators on micro graphs: duplicates, loops, negative and large ids, isolated ends, malformed lines."""
 
+import re
+
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.edges import edge_partition_1d, hash_partition, other_vertex
 from vertexloom.graph import Graph
-from vertexloom.operators import keyed_joins, messages, partitioning
-from vertexloom.plans.algorithms import component_sizes, connected_components, pagerank
+from vertexloom.operators import components, keyed_joins, messages, partitioning
+from vertexloom.functions.names import fresh
+from vertexloom.plans.algorithms import component_sizes, connected_components, pagerank, rank_shares
 from vertexloom.plans.iteration import scatter_gather, scatter_gather_between
 from vertexloom.sources import keyed
 from vertexloom.sources.edge_list import parse_edge_lines, read_edge_list, write_edge_list
@@ -261,3 +264,75 @@ def test_components_of_the_whole_seq_graph(spark):
         parent[b] = a
     got = catalog.algorithms.connected_components(catalog.Graph.from_edges(edges)).vertices
     assert {r.id: r.attr for r in got.collect()} == {x: root(x) for x in list(parent)}
+
+
+def brute_ranks(pairs, n):
+    degree, ids = {}, {x for p in pairs for x in p}
+    for a, _ in pairs:
+        degree[a] = degree.get(a, 0) + 1
+    rank = dict.fromkeys(ids, 0.15)
+    for _ in range(n):
+        into = dict.fromkeys(ids, 0.0)
+        for a, b in pairs:
+            into[b] += rank[a] / degree[a]
+        rank = {i: 0.15 + 0.85 * into[i] for i in ids}
+    return {i: round(r, 9) for i, r in rank.items()}
+
+
+def test_pagerank_with_a_hub(spark):
+    pairs = [(0, i) for i in range(1, 60)] + [(i, 0) for i in range(1, 60, 3)] + [(i, i + 1) for i in range(1, 20)] + [(0, 5), (0, 5)]
+    got = {r.id: round(r.attr, 9) for r in pagerank(Graph.from_edges(edges(spark, pairs)), 4).vertices.collect()}
+    assert got == brute_ranks(pairs, 4)
+
+
+def test_a_superstep_has_one_shuffle(spark):
+    placed = spark.range(1000).select((F.col("id") % 50).alias("src"), (F.col("id") % 77).alias("dst"), F.lit(20.0).alias("out_degree")).repartition(4, "src").persist()
+    sums = placed.groupBy(F.col("dst").alias("id")).agg(F.sum("out_degree").alias("s"))
+    step = lambda s: rank_shares(placed, s, 0.15).groupBy("id").agg(F.sum("share").alias("s"))
+    placed.count()
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        shuffles = [f._jdf.queryExecution().executedPlan().toString() for f in (sums, step(sums))]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        placed.unpersist()
+    moved = [len(re.findall(r"Exchange hashpartitioning\((?!src#)", x)) for x in shuffles]  # by another column than the source
+    assert moved == [1, 2]
+
+
+def test_the_state_of_many_edges_does_not_overflow(spark):
+    n, h = components._state(spark.range(1 << 25).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+    assert n == 1 << 25 and h is not None
+
+
+def test_lookup_and_visits(spark, tmp_path, caplog):
+    g = Graph.from_edges(edges(spark, M2))
+    assert g.lookup(2) == 1 and g.is_defined(3) and not g.is_defined(9)
+    with pytest.raises(KeyError):
+        g.lookup(9)
+    seen = str(tmp_path)
+
+    def note(batches):
+        import uuid
+
+        with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(b.num_rows for b in batches)))
+
+    g.visit_edges(note)
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 4
+    write_edge_list(edges(spark, M1), str(tmp_path / "list"))
+    with caplog.at_level("INFO"):
+        loaded = Graph.from_edge_list(spark, str(tmp_path / "list"), eager=True)
+    assert "5 edges of" in caplog.text and loaded.num_edges() == 5
+    loaded.unpersist()
+
+
+def test_names_that_clash(spark):
+    left = spark.createDataFrame([(1, 2, 3, 4)], "id long, attr int, other int, hit int")
+    right = spark.createDataFrame([(1, 5)], "id long, attr int")
+    assert fresh(["A", "_a"], "a", "b") == ("__a", "b")
+    assert rows(keyed_joins.left_join(left, right, lambda _, a, u, hit: F.when(hit, a + u))) == [(1, 7, 3, 4)]
+    assert rows(keyed_joins.inner_join(left, right, lambda _, a, u: a * u)) == [(1, 10, 3, 4)]

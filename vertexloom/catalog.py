@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from vertexloom.operators import keyed_joins, messages, partitioning
 from vertexloom.plans import algorithms, iteration
 from vertexloom.plans.scratch import Scratch, ship
 from vertexloom.sources import keyed
-from vertexloom.sources.edge_list import read_edge_list
+from vertexloom.sources.edge_list import read_edge_list, write_edge_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,6 +128,32 @@ def edge_list_load_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graph.from_edge_list(spark, _lists(spark, sf_dir), canonical=True, parts=8).edges
 
 
+@query(f"WITH {_SEQ} SELECT src, dst, 1 AS attr FROM seq")
+def edge_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as text lines, and read again."""
+    scratch = Scratch(spark, "edge-list")
+    write_edge_list(seq_edges(spark, sf_dir), scratch.path("text"))
+    return read_edge_list(spark, scratch.path("text"))
+
+
+@query(f"WITH {_SEQ}, {_V} SELECT id, attr FROM v")
+def persisted_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept, read, let go and computed again."""
+    g = seq_graph(spark, sf_dir).persist(edge_level=StorageLevel.MEMORY_AND_DISK)
+    g.num_vertices()
+    return g.unpersist_vertices().unpersist().vertices
+
+
+@query(f"WITH {_SEQ} SELECT src, dst, 1 AS attr FROM seq")
+def cached_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept and read while the vertices are let go."""
+    g = Graph.from_edges(seq_edges(spark, sf_dir)).cache()
+    g.num_edges()
+    edges = g.unpersist_vertices().edges
+    g.unpersist()
+    return edges
+
+
 # maps and filters
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +15,8 @@ from vertexloom.operators import keyed_joins, messages, partitioning
 from vertexloom.sources.edge_list import read_edge_list
 from vertexloom.sources.keyed import vertices_from_edges
 
+_log = logging.getLogger(__name__)
+
 
 def counted(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Array]]) -> Callable:
     """mapInArrow's function for f, which gives new attributes for the edges of a partition: as many as there are edges, in order."""
@@ -59,10 +63,15 @@ class Graph:
         return cls(vertices_from_edges(edges, default), edges)
 
     @classmethod
-    def from_edge_list(cls, spark: SparkSession, path: str, canonical: bool = False, malformed: str = "fail", parts: int | None = None) -> Graph:
-        """A graph of text files of edges; all attributes are 1. parts: co-locate the edges of a source in so many partitions."""
+    def from_edge_list(cls, spark: SparkSession, path: str, canonical: bool = False, malformed: str = "fail", parts: int | None = None, eager: bool = False) -> Graph:
+        """A graph of text files of edges; all attributes are 1. parts: co-locate the edges of a source in so many partitions.
+        eager: read and keep the edges now, and log their number and the milliseconds that took."""
         edges = read_edge_list(spark, path, canonical, malformed)
-        return cls.from_edges(partitioning.partition_by_source(edges, parts) if parts else edges)
+        edges = partitioning.partition_by_source(edges, parts) if parts else edges
+        if eager:
+            began, edges = time.perf_counter(), edges.persist(StorageLevel.MEMORY_AND_DISK)
+            _log.info("%d edges of %s in %.0f ms", edges.count(), path, 1000 * (time.perf_counter() - began))
+        return cls.from_edges(edges)
 
     @property
     def sources(self) -> DataFrame:
@@ -82,9 +91,30 @@ class Graph:
     def out_degrees(self) -> DataFrame:
         return messages.out_degrees(self.edges)
 
-    def persist(self, level: StorageLevel = StorageLevel.DISK_ONLY) -> Graph:
+    def lookup(self, vid: int) -> object:
+        """The attribute of a vertex; a KeyError if there is no such vertex."""
+        found = self.vertices.where(F.col("id") == vid).select("attr").limit(1).collect()
+        if not found:
+            raise KeyError(vid)
+        return found[0]["attr"]
+
+    def is_defined(self, vid: int) -> bool:
+        """Whether the vertex is there."""
+        return not self.vertices.where(F.col("id") == vid).isEmpty()
+
+    def visit_edges(self, f: Callable[[Iterator[pa.RecordBatch]], None]) -> None:
+        """f sees the edges of each partition as Arrow batches, on the executors, for what it does with them; nothing comes back."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f(batches)
+            return iter(())
+
+        self.edges.mapInArrow(run, "src long").write.format("noop").mode("overwrite").save()
+
+    def persist(self, level: StorageLevel = StorageLevel.DISK_ONLY, edge_level: StorageLevel | None = None) -> Graph:
+        """Keep vertices and edges, once they are computed; edge_level: another level for the edges."""
         self.vertices.persist(level)
-        self.edges.persist(level)
+        self.edges.persist(edge_level or level)
         return self
 
     def cache(self) -> Graph:

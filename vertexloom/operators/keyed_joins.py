@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.functions.names import fresh
 from vertexloom.sources.keyed import keyed
 
 
@@ -19,17 +20,19 @@ def left_join(left: DataFrame, other: DataFrame, f: Callable[[Column, Column, Co
 
     unique: other is known to have each id once, which saves the aggregation; both sides hashed alike then join in place.
     """
-    right = _right(other, unique).select("id", F.col("attr").alias("__other"), F.lit(True).alias("__hit"))
-    hit = F.coalesce("__hit", F.lit(False))
+    new, found = fresh(left.columns, "other", "hit")
+    right = _right(other, unique).select("id", F.col("attr").alias(new), F.lit(True).alias(found))
+    hit = F.coalesce(found, F.lit(False))
     rest = [c for c in left.columns if c not in ("id", "attr")]
-    return left.join(right, "id", "left").select("id", f(F.col("id"), F.col("attr"), F.col("__other"), hit).alias("attr"), *rest)
+    return left.join(right, "id", "left").select("id", f(F.col("id"), F.col("attr"), F.col(new), hit).alias("attr"), *rest)
 
 
 def inner_join(left: DataFrame, other: DataFrame, f: Callable[[Column, Column, Column], Column], unique: bool = False) -> DataFrame:
     """attr becomes f(id, attr, other's attr) for the ids that both have."""
-    right = _right(other, unique).select("id", F.col("attr").alias("__other"))
+    (new,) = fresh(left.columns, "other")
+    right = _right(other, unique).select("id", F.col("attr").alias(new))
     rest = [c for c in left.columns if c not in ("id", "attr")]
-    return left.join(right, "id").select("id", f(F.col("id"), F.col("attr"), F.col("__other")).alias("attr"), *rest)
+    return left.join(right, "id").select("id", f(F.col("id"), F.col("attr"), F.col(new)).alias("attr"), *rest)
 
 
 def inner_join_keep_left(left: DataFrame, other: DataFrame) -> DataFrame:

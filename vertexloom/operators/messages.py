@@ -40,13 +40,14 @@ def out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
 
 
-def send_along(vertices: DataFrame, edges: DataFrame, message: Callable[[Column, Column, Column], Column], reduce: Reduce, target: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+def send_along(vertices: DataFrame, edges: DataFrame, message: Callable[[Column, Column, Column], Column], reduce: Reduce, target: Callable[[Column, Column, Column], Column] | None = None, degrees: DataFrame | None = None) -> DataFrame:
     """One message for each edge from (target's id, source's attr, source's out-degree), reduced by id: id, msg.
 
     target gives the id that gets the message, by default the edge's own target. Degrees join the vertices before the edges do, so
-    the edges move once, and the reduction is partly done before its shuffle.
+    the edges move once, and the reduction is partly done before its shuffle. degrees (id, out_degree): those of the edges, if known.
     """
-    known = out_degrees(edges).join(vertices.select("id", "attr"), "id").select(F.col("id").alias("src"), F.col("attr").alias("__attr"), "out_degree")
+    degrees = out_degrees(edges) if degrees is None else degrees
+    known = degrees.join(vertices.select("id", "attr"), "id").select(F.col("id").alias("src"), F.col("attr").alias("__attr"), "out_degree")
     args = (F.col("dst"), F.col("__attr"), F.col("out_degree"))
     to = target(*args) if target else args[0]
     return edges.select("src", "dst").join(known, "src").select(to.alias("id"), message(*args).alias("msg")).groupBy("id").agg(reduce(F.col("msg")).alias("msg"))

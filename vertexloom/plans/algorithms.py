@@ -13,37 +13,55 @@ from vertexloom.plans.scratch import Scratch
 CUT_EVERY = 10
 
 
-def rank_sums(edges: DataFrame, sums: DataFrame, reset: float) -> DataFrame:
-    """One superstep. edges: src, dst, out_degree; sums: id and s, what came in before. The ranks themselves are never stored: a
-    vertex without a sum has the reset value. If edges and sums are hashed alike, the new sums are the only shuffle."""
+def rank_shares(edges: DataFrame, sums: DataFrame, reset: float) -> DataFrame:
+    """What each target gets in a superstep. edges: src, dst, out_degree; sums: id and s, what came in before. The ranks themselves are
+    never stored: a vertex without a sum has the reset value. If edges and sums are hashed alike, the new sums are the only shuffle."""
     rank = F.lit(reset) + F.lit(1 - reset) * F.coalesce("s", F.lit(0.0))
-    return edges.join(sums, edges["src"] == sums["id"], "left").select(F.col("dst").alias("id"), (rank / F.col("out_degree")).alias("share")).groupBy("id").agg(F.sum("share").alias("s"))
+    return edges.join(sums, edges["src"] == sums["id"], "left").select(F.col("dst").alias("id"), (rank / F.col("out_degree")).alias("share"))
+
+
+def _hubs(degrees: DataFrame, parts: int) -> list[int]:
+    """The sources with more edges than a partition has on average, so at most `parts` ids."""
+    edges = degrees.agg(F.sum("out_degree")).first()[0] or 0
+    return [r["id"] for r in degrees.where(F.col("out_degree") > edges / parts).select("id").limit(parts).collect()]
 
 
 def pagerank(graph: Graph, iterations: int, reset: float = 0.15) -> Graph:
-    """attr: the rank after so many supersteps. All ranks begin at `reset`; no mass is handed on from sinks, nothing is normalised."""
+    """attr: the rank after so many supersteps. All ranks begin at `reset`; no mass is handed on from sinks, nothing is normalised.
+
+    Edges are kept hashed by source, but those of a hub (more edges than a mean partition) are dealt out by both ends and meet the
+    hub's sum by a broadcast of at most as many rows as there are partitions. What is kept is let go when the sums are written.
+    """
     if iterations < 0:
         raise ValueError("iterations must not be negative")
+    if iterations == 0:
+        return graph.map_vertices(lambda _, __: F.lit(reset))
     spark = graph.edges.sparkSession
-    edges = graph.edges.select("src", "dst")
-    degrees = graph.out_degrees().select(F.col("id").alias("src"), "out_degree")
-    placed = edges.join(degrees, "src").groupBy("src", "dst", "out_degree").agg(F.count("*").alias("n"))
+    scratch, parts = Scratch(spark, "pagerank"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    degrees = scratch.table(graph.out_degrees(), "degrees")
+    hubs = _hubs(degrees, parts) if iterations > 1 else []
+    placed = graph.edges.select("src", "dst").join(degrees.withColumnRenamed("id", "src"), "src").groupBy("src", "dst", "out_degree").agg(F.count("*").alias("n"))
     # parallel edges become one with a share of the degree
     placed = placed.select("src", "dst", (F.col("out_degree") / F.col("n")).alias("out_degree"))
-    if iterations > 1:
-        placed = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist()
-    sums, scratch = None, None
-    for turn in range(iterations):
-        if sums is None:
-            share = F.lit(reset) / F.col("out_degree")
-            sums = placed.groupBy(F.col("dst").alias("id")).agg(F.sum(share).alias("s"))
-        else:
-            sums = rank_sums(placed, sums, reset)
-        if turn % CUT_EVERY == CUT_EVERY - 1 and turn < iterations - 1:
-            scratch = scratch or Scratch(spark, "pagerank")
+    held = []
+    if hubs:
+        hub = F.col("src").isin(hubs)
+        held = [placed.where(~hub).repartition(parts, "src").persist(), placed.where(hub).repartition(parts, "src", "dst").persist()]
+    elif iterations > 1:
+        held = [placed.repartition(parts, "src").persist()]
+    first = held[0].union(held[1]) if hubs else (held or [placed])[0]
+    sums = first.groupBy(F.col("dst").alias("id")).agg(F.sum(F.lit(reset) / F.col("out_degree")).alias("s"))
+    for turn in range(1, iterations):
+        if hubs or turn % CUT_EVERY == 0:
             sums = scratch.table(sums, f"sums-{turn}")
-    if sums is None:
-        return graph.map_vertices(lambda _, __: F.lit(reset))
+        shares = [rank_shares(held[0], sums, reset)]
+        if hubs:
+            shares.append(rank_shares(held[1], F.broadcast(sums.where(F.col("id").isin(hubs))), reset))
+        sums = (shares[0].union(shares[1]) if hubs else shares[0]).groupBy("id").agg(F.sum("share").alias("s"))
+    if held:
+        sums = scratch.table(sums, "sums")
+        for frame in held:
+            frame.unpersist()
     rank = F.lit(reset) + F.lit(1 - reset) * F.coalesce("s", F.lit(0.0))
     return Graph(graph.vertices.select("id").join(sums, "id", "left").select("id", rank.alias("attr")), graph.edges)
 

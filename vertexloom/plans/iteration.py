@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,21 +20,29 @@ Program = Callable[[Column, Column, Column], Column]
 
 def _apply(vertices: DataFrame, msgs: DataFrame, program: Program) -> DataFrame:
     """The program runs where there is a message, null or not; `changed` tells where the attribute became another."""
-    hit = msgs.select("id", "msg", F.lit(True).alias("__hit"))
-    new = F.when(F.col("__hit"), program(F.col("id"), F.col("attr"), F.col("msg"))).otherwise(F.col("attr"))
+    hit = msgs.select("id", "msg", F.lit(True).alias("hit"))
+    new = F.when(F.col("hit"), program(F.col("id"), F.col("attr"), F.col("msg"))).otherwise(F.col("attr"))
     return vertices.select("id", "attr").join(hit, "id", "left").select("id", new.alias("attr"), (~new.eqNullSafe(F.col("attr"))).alias("changed"))
 
 
+def _kept(graph: Graph) -> DataFrame:
+    """The edges, computed once and hashed by source: supersteps neither read them again nor move them."""
+    parts = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return graph.edges.repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
+
+
 def scatter_gather(graph: Graph, initial: object, program: Program, message: Callable, gather: Callable, max_iterations: int) -> Graph:
     """program(id, attr, initial) on all vertices; then, max_iterations times at most, messages along every edge and the program on
     the vertices that got one. message(target, source's attr, out-degree) sends one for each edge, so only the bound ends it."""
     scratch = Scratch(graph.edges.sparkSession, "scatter-gather")
     first = graph.map_vertices(lambda i, a: program(i, a, F.lit(initial)))
-    vertices = scratch.table(first.vertices, "state-0")
+    vertices, edges = scratch.table(first.vertices, "state-0"), _kept(graph)
+    degrees = scratch.table(messages.out_degrees(edges), "degrees")
     for turn in range(1, max_iterations + 1):
-        msgs = messages.send_along(vertices, graph.edges, message, gather)
+        msgs = messages.send_along(vertices, edges, message, gather, degrees=degrees)
         vertices = scratch.table(_apply(vertices, msgs, program), f"state-{turn}")
         scratch.drop(f"state-{turn - 1}")
+    edges.unpersist()
     return Graph(vertices, graph.edges)
 
 
@@ -44,15 +53,17 @@ def scatter_gather_between(graph: Graph, initial: object, program: Program, send
         raise ValueError("frontier: ends or sources")
     scratch = Scratch(graph.edges.sparkSession, "scatter-gather")
     first = graph.map_vertices(lambda i, a: program(i, a, F.lit(initial)))
-    vertices, edges = scratch.table(first.vertices.withColumn("changed", F.lit(True)), "state-0"), graph.edges
+    vertices, whole = scratch.table(first.vertices.withColumn("changed", F.lit(True)), "state-0"), _kept(graph)
+    edges = whole
     for turn in range(1, max_iterations + 1):
         if turn > 1:
             active = vertices.where("changed").select("id")
             pick = messages.with_active_ends if frontier == "ends" else messages.with_active_sources
-            edges = pick(graph.edges, active)
+            edges = pick(whole, active)
         msgs = messages.send_between(vertices, edges, send, gather)
         vertices = scratch.table(_apply(vertices, msgs, program), f"state-{turn}")
         scratch.drop(f"state-{turn - 1}")
         if vertices.where("changed").isEmpty():
             break
+    whole.unpersist()
     return Graph(vertices, graph.edges)

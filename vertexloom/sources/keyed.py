@@ -29,8 +29,8 @@ def keyed(pairs: DataFrame, reduce: Reduce = F.min) -> DataFrame:
 
 def keyed_with_default(ids: DataFrame, pairs: DataFrame, default: object, reduce: Reduce = F.min) -> DataFrame:
     """Every id of `ids` once, with its attribute in `pairs` (null if that is null) or else the default; other pairs are left out."""
-    own = keyed(pairs, reduce).withColumn("__hit", F.lit(True))
-    return ids.select("id").distinct().join(own, "id", "left").select("id", F.when(F.col("__hit"), F.col("attr")).otherwise(F.lit(default)).alias("attr"))
+    own = keyed(pairs, reduce).withColumn("hit", F.lit(True))
+    return ids.select("id").distinct().join(own, "id", "left").select("id", F.when(F.col("hit"), F.col("attr")).otherwise(F.lit(default)).alias("attr"))
 
 
 def updates(pairs: DataFrame, reduce: Reduce = F.min) -> DataFrame:
