@@ -108,6 +108,76 @@ def test_grammar_round_trip_and_random_access():
         token_files.Block(b"none")
 
 
+def test_words_of_token_files_are_the_library(monkeypatch):
+    rng = random.Random(5)
+    texts = [t or "" for t in ODD] + noise(800, 11) + ["don't 'twas ''s 'RE'LL 've'd x's's 'm!'s It'S ÀÉ×ß÷ '", "'", "'r", "'l", "a'", "'s"]
+    texts += ["".join(rng.choice("'srevldtm a1!é²") for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    library = Tokenizer.from_file(WORD)
+    for most in (50, 100_000):
+        monkeypatch.setattr(token_files, "REMEMBERED", most)
+        mine = token_files.WordTokenizer(WORD)
+        for at in range(0, len(texts), 300):
+            part = texts[at : at + 300]
+            ids, counts = mine.encode(pa.array(part), 1)
+            assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == library.encode(part[0], add_special_tokens=False).ids + [1]
+            assert ids.tolist() == [i for t in part for i in [*library.encode(t, add_special_tokens=False).ids, 1]]
+        assert mine.known.n <= most
+
+
+def plain_repair(docs, first_new, least):
+    """Re-Pair as it is defined: the most frequent pair goes first, one at a time."""
+    docs, rules = [list(d) for d in docs], 0
+    while True:
+        count = Counter()
+        for d in docs:
+            held = -1
+            for i, pair in enumerate(zip(d, d[1:])):
+                if not (pair[0] == pair[1] and held == i - 1 and d[i - 1] == pair[0]):
+                    count[pair] += 1
+                    held = i
+                else:
+                    held = -1
+        if not count or max(count.values()) < least:
+            return sum(map(len, docs)), rules
+        pair = max(count, key=lambda p: (count[p], p))
+        for k, d in enumerate(docs):
+            out, i = [], 0
+            while i < len(d):
+                hit = tuple(d[i : i + 2]) == pair
+                out.append(first_new + rules if hit else d[i])
+                i += 2 if hit else 1
+            docs[k] = out
+        rules += 1
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(7)
+    phrases = [rng.integers(0, 300, rng.integers(2, 12)) for _ in range(60)]
+    docs = [np.concatenate([phrases[i] for i in rng.zipf(1.5, 40) % 60] + [rng.integers(0, 300, 5)]) for _ in range(150)]
+    ids, ends = np.concatenate(docs).astype(np.uint16), np.cumsum([len(d) for d in docs])
+    symbols, rules, cut = token_files.repair(ids, ends, 300)
+    left = Counter(p for d in np.split(symbols.tolist(), cut[:-1]) for p in zip(d.tolist(), d.tolist()[1:]))
+    assert max(left.values()) < token_files.LEAST
+    plain, plain_rules = plain_repair(docs, 300, token_files.LEAST)
+    assert len(symbols) + 2 * len(rules) <= 1.1 * (plain + 2 * plain_rules)
+    for n in (1, 2, 3, 31, 100_000):  # equal ids
+        same = np.full(n, 7, np.uint16)
+        block = token_files.Block(token_files.pack([1], np.array([n]), same, 100))
+        assert (block.ids() == same).all() and len(block.symbols) <= 20 + (n < 32) * 12
+    many = np.tile(np.arange(40, dtype=np.uint16), 5000)
+    assert len(token_files.repair(many, np.array([len(many)]), 100)[0]) < 50
+
+
+def test_token_files_spread_rows_of_one_id(spark):
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = token_files.write(docs, Scratch(spark, "t"), WORD, block_ids=10**6)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert blocks.count() > 1 and token_files.read(blocks).count() == 400
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(zip(words, words[1:], words[2:]))

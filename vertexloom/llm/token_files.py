@@ -1,9 +1,10 @@
 """Token ids in binary shards, compressed by a grammar (Re-Pair in rounds).
 
 Documents are sorted by doc_id over the cluster, encoded, and written in blocks of about two million ids. In a block, rounds replace
-the most frequent pairs of symbols by new symbols: each round counts all pairs exactly and takes them from the most frequent down, as
-long as no symbol would be the first of one pair and the second of another, so no two replacements overlap. Ids and new symbols
-together fit 16 bits. No symbol crosses the end of a document.
+the most frequent pairs of symbols by new symbols: each counts all pairs exactly and takes those that are at least a sixteenth as
+frequent as the most frequent one. Where two of them overlap the more frequent one wins; in a run of equal symbols every second place
+is replaced. It ends when no pair occurs 16 times any more, or when ids and new symbols fill 16 bits. No symbol crosses the end of a
+document.
 
 A block holds, little-endian: b"RPG1", the numbers of documents, rules and symbols (uint32), the ids of documents (int64, with a bit
 map of nulls), where each begins in ids and in symbols (uint32), the rules as pairs (uint16), how many ids each expands to (uint32),
@@ -11,14 +12,13 @@ and the symbols (uint16). So a document, or a range of ids in it, is decoded wit
 that it needs, and rules expand those alone. Blocks are rows of a Parquet table, as Spark's writers reach every store.
 
 Results, by case: a null or empty text is the end id alone; null ids come first; repeated rows and ties of doc_id stand side by side,
-by text; a text of any length is one document, and makes its block longer; a table without rows gives no blocks; extra columns are
+in the order of a hash of the text; a text of any length is one document, and makes its block longer; a table without rows gives no blocks; extra columns are
 left out.
 """
 
 from __future__ import annotations
 
 import gc
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,21 +31,118 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexloom.llm.scratch import Scratch
-from vertexloom.llm.textops import pieces
+from vertexloom.llm.textops import Words, mix, pieces, text_buffers
 from vertexloom.llm.workers import claim
 
 END_ID, BLOCK_IDS = 1, 2_000_000
-#: Rounds of replacements, and the least count of a pair that is replaced.
-ROUNDS, LEAST = 4, 16
-#: Words that a worker remembers with their ids, each of so many characters at most.
-REMEMBERED, REMEMBERED_CHARS = 700_000, 64
+#: The least count of a pair that is replaced; a round takes the pairs that are at least a FACTOR-th as frequent as the most frequent.
+LEAST, FACTOR = 16, 16
+#: Words that a worker remembers with their ids, each of so many bytes at most.
+REMEMBERED, REMEMBERED_BYTES = 700_000, 64
 MAGIC = b"RPG1"
-_L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+
+SPACE, LETTER, NUMBER, OTHER = range(4)
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds of single bytes, of the characters of two bytes after 0xC2 and 0xC3, and lower case of bytes; all of lower-case text."""
+    one, two, lower = np.full(256, OTHER, np.uint8), np.full((2, 64), OTHER, np.uint8), np.arange(256, dtype=np.uint8)
+    one[[9, 10, 11, 12, 13, 32]] = SPACE
+    one[97:123], one[48:58] = LETTER, NUMBER
+    lower[65:91] += 32
+    for cp in range(0x80, 0x100):
+        kind = SPACE if cp in (0x85, 0xA0) else NUMBER if cp in (0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE) else LETTER if cp in (0xAA, 0xB5, 0xBA) or cp >= 0xDF and cp != 0xF7 else OTHER
+        two[(cp >> 6) - 2, cp & 63] = kind
+    return one, two, lower
+
+
+_ONE, _TWO, _LOWER = _classes()
+
+
+class LatinWords(Words):
+    """The words of Latin-1 texts as the word vocabulary splits them, over lower-cased bytes. Texts in `whole` have none."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray):
+        n = len(data)
+        low = np.zeros(n + 4, np.uint8)
+        np.take(_LOWER, data, out=low[:n])
+        kind = _ONE[low[:n]]
+        lead = np.flatnonzero((data == 0xC2) | (data == 0xC3))
+        after = low[lead + 1]
+        upper = (data[lead] == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97)
+        low[lead[upper] + 1] += 32
+        kind[lead] = kind[np.minimum(lead + 1, n - 1)] = _TWO[data[lead] - 0xC2, low[lead + 1] & 63]
+        for d in whole:
+            kind[offsets[d] : offsets[d + 1]] = SPACE
+        start = kind != SPACE
+        start[1:] &= (kind[1:] != kind[:-1]) | ((kind[1:] == NUMBER) & ((data[1:] & 0xC0) != 0x80))
+        begins = offsets[:-1][offsets[:-1] < offsets[1:]]
+        start[begins] = kind[begins] != SPACE
+        # 's 't 'm 'd 're 've 'll where a run of signs begins
+        p = np.flatnonzero(start & (low[:n] == 39))
+        end = offsets[np.searchsorted(offsets, p, "right")]
+        x, y = low[p + 1], low[p + 2]
+        short = (p + 1 < end) & np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        long_ = (p + 2 < end) & (((y == ord("e")) & ((x == ord("r")) | (x == ord("v")))) | ((x == ord("l")) & (y == ord("l"))))
+        for at, length in ((p[short], 2), (p[long_], 3)):
+            start[at + 1] = False
+            rest = at + length
+            rest = rest[rest < end[short if length == 2 else long_]]
+            start[rest[kind[rest] == LETTER]] = True
+        edge = np.flatnonzero(start | (kind == SPACE))
+        own = start[edge]
+        self.data, self.offsets = low, offsets
+        self.starts, self.ends = edge[own], np.r_[edge[1:], n][own]
+        self.first = np.searchsorted(self.starts, offsets)
+        self.counts = np.diff(self.first)
+
+
+class Remembered:
+    """Words by 64-bit hash, in open addressing, with where their ids are in one pool. Lengths and end bytes are compared, too."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.mask = np.uint64((1 << (3 * most).bit_length()) - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.place = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
+        self.n, self.begin, self.size, self.check = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint16)
+
+    def find(self, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        out, todo, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), keys & self.mask
+        while len(todo):
+            here = self.keys[slot]
+            hit = here == keys[todo]
+            out[todo[hit]] = self.place[slot[hit]]
+            go = ~hit & (here != 0)
+            todo, slot = todo[go], (slot[go] + np.uint64(1)) & self.mask
+        if self.n:
+            out[(out >= 0) & (self.check[out] != check)] = -1
+        return out
+
+    def add(self, keys: np.ndarray, check: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct words that find() does not know."""
+        if self.n + len(keys) > self.most:
+            self.clear()
+        if len(keys) > self.most:
+            return
+        begin = np.cumsum(size) - size + len(self.pool)
+        self.begin, self.size, self.check, self.pool = np.r_[self.begin, begin], np.r_[self.size, size], np.r_[self.check, check], np.r_[self.pool, ids]
+        todo, slot = np.arange(len(keys)), keys & self.mask
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[todo[free]]
+            won = free & (self.keys[slot] == keys[todo])
+            self.place[slot[won]] = todo[won] + self.n
+            todo, slot = todo[~won], (slot[~won] + np.uint64(1)) & self.mask
+        self.n += len(keys)
 
 
 class WordTokenizer:
-    """The tokenizers library, asked once for each word that a worker remembers."""
+    """The tokenizers library, asked once for each word that a worker remembers; all else is done for a whole batch at once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -58,7 +155,7 @@ class WordTokenizer:
         self.size = self.plain.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(REMEMBERED)
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -68,95 +165,110 @@ class WordTokenizer:
 
         return Tokenizer.from_file(self.path)
 
-    def words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each word with its packed ids. Many are encoded as one text: the last id of a word ends it."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has. Many are encoded as one text: the last id of a word ends it."""
+        ids, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 500):
             part = words[at : at + 500]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) != len(part):
+            found = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            size = np.diff(np.r_[0, np.flatnonzero(self.ends[found]) + 1])
+            if len(size) != len(part):
                 one = [self.library.encode(w, add_special_tokens=False).ids for w in part]
-                ids = np.array([i for x in one for i in x], np.uint16)
-                cuts = np.cumsum([len(x) for x in one]).tolist()
-            data = ids.tobytes()
-            yield from zip(part, (data[2 * a : 2 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed 16-bit ids of each text. Words of Latin-1 texts are encoded apart; what else there is goes to the library whole."""
-        parts: list[list[str] | bytes] = []
-        for text in texts:
-            whole = "<|" in text
-            if not whole:
-                try:
-                    text.encode("latin-1")
-                except UnicodeEncodeError:
-                    whole = True
-            parts.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes() if whole else _SPLIT.findall(text.lower()))
+                found, size = np.array([i for x in one for i in x], np.uint16), np.array([len(x) for x in one])
+            ids.append(found)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each has. Texts beyond Latin-1 go to the library whole."""
+        data, offs = text_buffers(column)
+        base = int(offs[0])
+        data, offs = data[base : int(offs[-1])], offs - base
+        odd = data >= 0xC4
+        odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        whole = np.unique(np.searchsorted(offs, np.flatnonzero(odd), "right") - 1)
+        w = LatinWords(data, offs, whole)
+        keys = w.hashes()
+        keys[keys == 0] = 1
+        check = (w.ends - w.starts) << 16 | w.data[w.starts].astype(np.int64) << 8 | w.data[w.ends - 1]
+        number = self.known.find(keys, check)
+        new = np.flatnonzero(number < 0)
         known = self.known
-        lists = [p for p in parts if isinstance(p, list)]
-        new = set().union(*lists).difference(known)
-        known.update(self.words(list(new)))
-        get = known.__getitem__
-        out = [p if isinstance(p, bytes) else b"".join(map(get, p)) for p in parts]
-        if len(known) > REMEMBERED:
-            if len(new) * 3 > sum(map(len, lists)):
-                known.clear()  # what comes now differs from what was kept
-            else:
-                for word in new:
-                    del known[word]
-        else:
-            for word in new:
-                if len(word) > REMEMBERED_CHARS:
-                    del known[word]
-        return out
-
-
-def repair(ids: np.ndarray, ends: np.ndarray, first_new: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        begin, size, pool = known.begin, known.size, known.pool
+        if len(new):
+            _, first, inverse = np.unique(keys[new] ^ mix(check[new].astype(np.uint64)), return_index=True, return_inverse=True)
+            at = new[first]
+            text = w.data.tobytes()
+            ids, sizes = self.words([text[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+            number[new] = len(size) + inverse
+            begin, size, pool = np.r_[begin, len(pool) + np.cumsum(sizes) - sizes], np.r_[size, sizes], np.r_[pool, ids]
+            keep = (w.ends[at] - w.starts[at] <= REMEMBERED_BYTES) & (known.find(keys[at], check[at]) < 0)
+            keep &= np.r_[True, np.diff(np.sort(keys[at])) > 0].all()  # two words with one hash: remember none of these
+            known.add(keys[at][keep], check[at][keep], sizes[keep], ids[np.repeat(keep, sizes)])
+        own = size[number]
+        flat = pool[np.repeat(begin[number] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+        counts = np.diff(np.r_[0, np.cumsum(own)][w.first])
+        others = {int(d): self.library.encode(data[offs[d] : offs[d + 1]].tobytes().decode(), add_special_tokens=False).ids for d in whole}
+        inside = counts.copy()
+        counts[list(others)] = [len(x) for x in others.values()]
+        counts += 1
+        ends = np.cumsum(counts)
+        out = np.empty(int(ends[-1]), np.uint16)
+        out[ends - 1] = end_id
+        out[np.repeat(ends - counts - (np.cumsum(inside) - inside), inside) + np.arange(len(flat))] = flat
+        for d, ids in others.items():
+            out[ends[d] - counts[d] : ends[d] - 1] = ids
+        return out, counts
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, first_new: int, least: int = LEAST, factor: int = FACTOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules and where each document ends in the symbols. ends: where documents end in ids."""
     seq = ids.astype(np.uint16)
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
-    rules: list[int] = []
-    for turn in range(rounds):
-        room = min(((1 << 16) - first_new - len(rules)) // max(1, rounds - turn), 1 << 14) if turn < rounds - 1 else (1 << 16) - first_new - len(rules)
-        if len(seq) < 2 or room <= 0:
-            break
+    rules, made = [np.zeros(0, np.uint32)], 0
+    is_left, is_right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+    while (room := (1 << 16) - first_new - made) > 0:
         key = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-        inside = np.flatnonzero(~last[:-1])
-        sorted_ = np.sort(key[inside])
-        if not len(sorted_):
+        inside = key[~last[:-1]]
+        if len(inside) < least:
             break
-        cut = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        count = np.diff(np.r_[cut, len(sorted_)])
-        often = np.flatnonzero(count >= least)
-        often = often[np.argsort(-count[often], kind="stable")][: 3 * room]
-        left, right, chosen = set(), set(), []
-        for pair in sorted_[cut[often]].tolist():
-            a, b = pair >> 16, pair & 0xFFFF
-            if a != b and a not in right and b not in left:
-                left.add(a)
-                right.add(b)
-                chosen.append(pair)
-                if len(chosen) == room:
-                    break
-        if not chosen:
+        inside.sort()
+        cut = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]])
+        count = np.diff(np.r_[cut, len(inside)])
+        top = int(count.max())
+        if top < least:
             break
-        pairs = np.array(chosen, np.uint32)
+        often = np.flatnonzero(count >= max(least, -(-top // factor)))
+        often = often[np.argsort(-count[often], kind="stable")][:room]
+        pairs = inside[cut[often]]
         order = np.argsort(pairs)
-        is_left, is_right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        near = pairs[order]
+        is_left[:], is_right[:] = False, False
         is_left[pairs >> np.uint32(16)] = True
         is_right[pairs & np.uint32(0xFFFF)] = True
         at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
-        slot = np.minimum(np.searchsorted(pairs[order], key[at]), len(pairs) - 1)
-        hit = pairs[order][slot] == key[at]
-        at, slot = at[hit], slot[hit]
-        seq[at] = (first_new + len(rules) + order[slot]).astype(np.uint16)
+        slot = np.minimum(np.searchsorted(near, key[at]), len(pairs) - 1)
+        hit = near[slot] == key[at]
+        at, rank = at[hit], order[slot[hit]]
+        # of overlapping places that with the more frequent pair is replaced; in a run of equal symbols every second one
+        beside = at[1:] == at[:-1] + 1
+        begin = np.flatnonzero(np.r_[True, ~(beside & (rank[1:] == rank[:-1]))])
+        take = (np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))) & 1 == 0
+        take[1:] &= ~(beside & (rank[:-1] < rank[1:]))
+        take[:-1] &= ~(beside & (rank[1:] < rank[:-1]))
+        at, rank = at[take], rank[take]
+        # a pair that has lost most of its places to others waits for a later round; the most frequent one always has half of them
+        good = np.bincount(rank, minlength=len(pairs)) >= -(-least // 2)
+        at, rank = at[good[rank]], rank[good[rank]]
+        seq[at] = (first_new + made + np.cumsum(good) - 1)[rank].astype(np.uint16)
         last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules += chosen
-    table = np.array(rules, np.uint32)
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq, last = seq[stay], last[stay]
+        rules.append(pairs[good])
+        made += int(good.sum())
+    table = np.concatenate(rules)
     return seq, np.stack([table >> np.uint32(16), table & np.uint32(0xFFFF)], 1).astype(np.uint16).reshape(-1, 2), np.flatnonzero(last) + 1
 
 
@@ -269,30 +381,33 @@ def write(docs: DataFrame, scratch: Scratch, vocabulary: str, block_ids: int = B
         tokenizer = _tokenizers[vocabulary]
         gc.freeze()
         part, block, held = TaskContext.get().partitionId(), 0, 0
-        names: list[int | None] = []
-        packed: list[bytes] = []
-        end = np.uint16(end_id).tobytes()
+        waiting: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            counts = np.array([len(p) // 2 for p in packed])
-            blob = pack(names, counts, np.frombuffer(b"".join(packed), np.uint16), tokenizer.size)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(names)]), pa.array([int(counts.sum())]), pa.array([blob], pa.binary())], ["part", "block", "n_docs", "n_ids", "bytes"])
+            names = [x for w in waiting for x in w[0]]
+            counts, ids = (np.concatenate([w[k] for w in waiting]) for k in (1, 2))
+            blob = pack(names, counts, ids, tokenizer.size)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(names)]), pa.array([len(ids)]), pa.array([blob], pa.binary())], ["part", "block", "n_docs", "n_ids", "bytes"])
 
         for batch in pieces(batches, "text"):
-            for name, p in zip(batch.column(0).to_pylist(), tokenizer.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                names.append(name)
-                packed.append(p + end)
-                held += len(p) // 2 + 1
+            names = batch.column(0).to_pylist()
+            ids, counts = tokenizer.encode(batch.column(1), end_id)
+            ends, at = np.cumsum(counts), 0
+            while at < len(names):
+                before = int(ends[at] - counts[at])
+                to = min(len(names), int(np.searchsorted(ends, before + block_ids - held)) + 1)  # to the document that fills the block
+                waiting.append((names[at:to], counts[at:to], ids[before : ends[to - 1]]))
+                held, at = held + int(ends[to - 1]) - before, to
                 if held >= block_ids:
                     yield flush()
                     block, held = block + 1, 0
-                    names.clear()
-                    packed.clear()
-        if names:
+        if waiting:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share one doc_id (null, say) are spread by a hash of the text
+    ordered = rows.withColumn("spread", F.xxhash64("text")).repartitionByRange("doc_id", "spread").sortWithinPartitions("doc_id", "spread", "text").drop("spread")
     return scratch.table(ordered.mapInArrow(run, _BLOCK), "blocks")
 
 
