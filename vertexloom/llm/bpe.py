@@ -284,7 +284,7 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
         bpe = model(vocabulary)
         gc.freeze()
         table = np.array(bpe.bytes, object)
-        for batch in pieces(batches, text, 2 << 20):
+        for batch in pieces(batches, text, most=2 << 20):
             at = batch.schema.get_field_index(text)
             packed = bpe.encode([x or "" for x in batch.column(at).to_pylist()])
             found = [np.frombuffer(p, np.int32) for p in packed]

@@ -7,8 +7,10 @@ Two texts are linked if their sets of 5-word shingles have a Jaccard similarity
    a bucket. One of more than 4096 texts is cut into blocks, and every pair of blocks is a unit of work, so all its pairs meet. The number of first bits follows the number of texts, and the number of
    tables is what finds 99.5 % of pairs at similarity 0.8, more of closer ones.
 3. In a unit all pairs are compared by distance. Those within the limit become candidates; of a text with many, the nearest first.
-   When these are verified, every unit where some were left out is compared again, and all its pairs that no link connects so far
-   become candidates. Pairs that are connected change no class, so nothing is lost.
+   When these are verified, every unit where some were left out is compared again for texts with others within the limit that no
+   link connects so far. Two of those can be linked only if they share one of their rarest shingles, so they are dealt out by these,
+   and all such pairs within the limit become candidates. Pairs that are connected change no class, so nothing is lost, and texts
+   that share no more than a template meet nowhere.
 4. Candidates are verified on the texts themselves, exactly, and verified links go into connected components.
 
 Texts of up to 24 shingles are not left to fingerprints: they meet in one of their least shingles and are compared exactly.
@@ -30,6 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertexloom.functions.names import fresh
 from vertexloom.llm.scratch import Scratch
 from vertexloom.llm.textops import Words, mix, pieces, repeats, text_buffers
 from vertexloom.llm.workers import alone
@@ -246,24 +249,83 @@ def _candidates(most: int):
     return run
 
 
+def across(prints: np.ndarray, own: np.ndarray, labels: list[bytes], most: int, size: np.ndarray | None = None, short: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the distance that have different labels. Rows of the most common label are not held against each other.
+
+    size, short: numbers of shingles, and whether this bucket's is in the short prefix; the smaller text of a pair must have it there.
+    """
+    _, label = np.unique(np.array(labels, object), return_inverse=True)
+    sizes = np.bincount(label)
+    if len(sizes) == 1:
+        return
+    minor, two = np.flatnonzero(label != sizes.argmax()), own.min() != own.max()
+    for at in range(0, len(minor), 256):
+        x = minor[at : at + 256]
+        d = np.zeros((len(x), len(prints)), np.uint16)
+        for plane in range(prints.shape[1]):
+            d += np.bitwise_count(prints[x, plane, None] ^ prints[None, :, plane])
+        good = (d <= most) & (label[x][:, None] != label[None, :])
+        if two:
+            good &= own[x][:, None] != own[None, :]
+        if size is not None:
+            a, b = size[x][:, None], size[None, :]
+            good &= ((a <= b) & short[x][:, None]) | ((b <= a) & short[None, :])
+        i, j = np.nonzero(good)
+        yield x[i], j
+
+
+def _involved(most: int):
+    """digest of each row with another within the distance whose text no verified link connects so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own, digests, (prints, labels) in grouped(batches):
+            found = np.zeros(len(own), bool)
+            for x, y in across(_planes(prints), own, labels, most):
+                found[x] = found[y] = True
+            if found.any():
+                yield pa.RecordBatch.from_arrays([_digests(digests, np.flatnonzero(found))], ["digest"])
+
+    return run
+
+
 def _rest(most: int):
     """All pairs (a, b) within the distance whose texts no verified link connects so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own, digests, (prints, labels) in grouped(batches):
-            number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
-            if len(number) == 1:
-                continue
-            label = np.array([number[x] for x in labels])
-            for x, y, d in distances(_planes(prints), own):
-                i, j = np.nonzero((d <= most) & (label[x][:, None] != label[y][None, :]))
-                a, b = np.maximum(x[i], y[j]), np.minimum(x[i], y[j])
+        for _, own, digests, (prints, labels, size, short) in grouped(batches):
+            for x, y in across(_planes(prints), own, labels, most, np.array(size), np.array(short)):
+                a, b = np.maximum(x, y), np.minimum(x, y)  # rows are in the order of their digests
                 for at in range(0, len(a), 100_000):
                     yield pa.RecordBatch.from_arrays([_digests(digests, a[at : at + 100_000]), _digests(digests, b[at : at + 100_000])], ["a", "b"])
 
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, shingle) for each distinct shingle of each text, and how many the text has."""
+    for batch in pieces(batches, "text", most=1 << 20):
+        w = Words.of(batch.column(1))
+        keys, doc = shingles(w, w.hashes())
+        size = np.bincount(doc, minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(keys.view(np.int64)), pa.array(size[doc])], ["digest", "bucket", "size"])
+
+
+def rare_prefixes(texts: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """(digest, bucket, size, short) for a text's rarest shingles, of which texts of this similarity share one; texts: digest, text.
+
+    Of two such texts, the smaller one with n shingles has n - ceil(2 s / (1 + s) n) + 1 rarest ones (`short`), the larger one with m
+    has m - ceil(s m) + 1, and these have one in common: so many of the smaller one's shingles are in both. Shingles that no other
+    text has are left out.
+    """
+    rows = scratch.table(texts.mapInArrow(_shingle_rows, "digest binary, bucket long, size long"), "shingles")
+    often = scratch.table(rows.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    own = rows.join(often, "bucket").groupBy("digest").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("often", "bucket"))).alias("all"))
+    alone_ = F.col("size") - F.size("all")
+    reach = lambda share: F.greatest(F.col("size") - F.ceil(F.lit(share) * F.col("size") - 1e-9) + 1 - alone_, F.lit(0)).cast("int")
+    own = own.select("digest", "size", F.posexplode(F.slice("all", F.lit(1), reach(similarity))).alias("place", "x"), reach(2 * similarity / (1 + similarity)).alias("near"))
+    return scratch.table(own.select("digest", "x.bucket", "size", (F.col("place") < F.col("near")).alias("short")), "prefixes")
+
+
 def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links (i, j), j < i, that connect all sets which pairs of this similarity connect."""
     owner, size = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.array([len(x) for x in sets])
@@ -310,7 +372,7 @@ def _small_links(similarity: float):
 
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text_a", "text_b"):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = []
@@ -355,15 +417,17 @@ def digest(text: str = "text") -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
-def _links(rows: DataFrame, texts: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float, name: str) -> DataFrame:
-    """Those of pairs (a, b) whose texts are as similar, by the texts themselves."""
-    # only the texts of candidates are moved: a bitmap of fixed size lets few others through, then the keys decide
-    nodes = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+def _bodies(rows: DataFrame, texts: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """digest and text of the nodes (digest), each once. Only these texts are moved: a bitmap of fixed size lets few others through."""
     wanted = scratch.table(texts.select("digest", "doc_id").join(nodes, "digest"), f"wanted-{name}")
     rough = rows.mapInArrow(_wanted(_bitmap(wanted)), "doc_id long, digest binary, text string").withColumn("id", F.coalesce("doc_id", F.lit(FIRST_ID)))
     keys = wanted.select("digest", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"))
-    body = rough.join(keys, ["digest", "id"], "left_semi").select("digest", "id", "text").dropDuplicates(["digest", "id"]).select("digest", "text")
-    body = scratch.table(body, f"bodies-{name}")
+    return scratch.table(rough.join(keys, ["digest", "id"], "left_semi").select("digest", "id", "text").dropDuplicates(["digest", "id"]).select("digest", "text"), f"bodies-{name}")
+
+
+def _links(rows: DataFrame, texts: DataFrame, pairs: DataFrame, scratch: Scratch, similarity: float, name: str) -> DataFrame:
+    """Those of pairs (a, b) whose texts are as similar, by the texts themselves."""
+    body = _bodies(rows, texts, pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), scratch, name)
     left = pairs.join(body.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(body.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     links = scratch.table(both.mapInArrow(_verified(similarity), "a binary, b binary"), f"links-{name}")
@@ -382,15 +446,24 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: float, cap: int) ->
     sampled = texts.where(F.col("n_shingles") > SMALL).select("digest", "print").mapInArrow(_rows(tables), "t int, key long, digest binary, print binary")
     sampled = units(sampled.withColumn("bucket", F.shiftright("key", SAMPLED - bits)), scratch, cap)
     unit = ["t", "bucket", "lo", "hi"]
-    dealt = lambda df, *more: df.select(*unit, "own", "digest", *more).repartition(*unit).sortWithinPartitions(*unit, "digest")
+    # few bytes are much work here, so small partitions are not put together
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df, *more: df.select(*unit, "own", "digest", *more).repartition(parts, *unit).sortWithinPartitions(*unit, "digest")
     found = scratch.table(dealt(sampled, "print").mapInArrow(_candidates(most), _FOUND), "found")
     pairs = scratch.table(found.where("a is not null").select("a", "b").distinct(), "pairs")
     links = _links(rows, texts, pairs, scratch, similarity, "first")
     crowded = found.where("a is null").select(*unit)
     if not crowded.isEmpty():
         labels = scratch.table(star_components(links, scratch.table, scratch.drop), "labels-first")
-        again = sampled.join(crowded, unit, "left_semi").join(labels.withColumnRenamed("id", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-        rest = dealt(again, "print", "label").mapInArrow(_rest(most), "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
+        labels = scratch.table(texts.select("digest", "print").join(labels.withColumnRenamed("id", "digest"), "digest", "left").select("digest", "print", F.coalesce("label", "digest").alias("label")), "labelled")
+        again = sampled.drop("print").join(crowded, unit, "left_semi").join(labels, "digest")
+        involved = scratch.table(dealt(again, "print", "label").mapInArrow(_involved(most), "digest binary").distinct(), "involved")
+        # which of them may be linked at all is left to their rarest shingles, exactly
+        prefixes = rare_prefixes(_bodies(rows, texts, involved, scratch, "involved"), scratch, similarity)
+        prefixes = prefixes.join(labels, "digest").withColumn("t", F.lit(-2))
+        mixed = prefixes.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.max("short").alias("short")).where("short and one <> other").select("bucket")
+        cut = units(scratch.table(prefixes.join(mixed, "bucket", "left_semi"), "mixed"), scratch, cap, "large-mixed")
+        rest = dealt(cut, "print", "label", "size", "short").mapInArrow(_rest(most), "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
         rest = scratch.table(rest, "rest")
         links = links.union(_links(rows, texts, rest, scratch, similarity, "second"))
     short = texts.where("small is not null").select("digest", "small").mapInArrow(_small_rows(similarity), "bucket long, digest binary, small binary").withColumn("t", F.lit(-1))
@@ -414,7 +487,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, cap: int =
 def representatives(docs: DataFrame, similarity: float = SIMILARITY, cap: int = CAP) -> DataFrame:
     """One row of docs, with all its columns, for each class: that with the least doc_id."""
     _, _, least = _classes(docs, Scratch(docs.sparkSession, "simhash"), similarity, cap)
-    keys = least.select(F.coalesce("class_id", F.lit(FIRST_ID)).alias("__id"), F.col("digest").alias("__digest"))
-    kept = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), "__digest": digest()}).join(keys, ["__id", "__digest"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.lit(0)))
-    return kept.withColumn("__place", place).where("__place = 1").drop("__id", "__digest", "__place")
+    id_, key, place = fresh(docs.columns, "id", "digest", "place")
+    keys = least.select(F.coalesce("class_id", F.lit(FIRST_ID)).alias(id_), F.col("digest").alias(key))
+    kept = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), key: digest()}).join(keys, [id_, key], "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_, key).orderBy(F.lit(0)))
+    return kept.withColumn(place, first).where(F.col(place) == 1).select(*docs.columns)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.functions.names import fresh
 from vertexloom.llm.scratch import Scratch
 from vertexloom.llm.textops import WIDE, Words, mix, pieces
 from vertexloom.llm.workers import alone
@@ -251,7 +252,7 @@ def _kept(batch: pa.RecordBatch) -> tuple[np.ndarray, list[int], list[str | None
     """The number of words of each text and of those removed, and the words that stay (None where all do)."""
     w = Words.of(batch.column(batch.schema.get_field_index("text")))
     data, kept, removed = w.data, [], []
-    for d, ranges in enumerate(batch.column(batch.schema.get_field_index("__ranges")).to_pylist()):
+    for d, ranges in enumerate(batch.columns[-1].to_pylist()):
         n = int(w.counts[d])
         if not ranges:
             kept.append(None)
@@ -292,13 +293,14 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gra
 
 
 def _with_ranges(docs: DataFrame, *columns: str, **options: int) -> DataFrame:
-    """The columns and __ranges, for each row of docs."""
+    """The columns, and then the ranges to remove, for each row of docs."""
     scratch = Scratch(docs.sparkSession, "substring")
-    keys = {"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), "__row": F.xxhash64(F.coalesce("text", F.lit("")))}
-    plain = docs.select(keys["__doc"].alias("doc"), keys["__row"].alias("row"), "text")
-    ranges = repeated_ranges(plain, scratch, **options).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges"))
-    ranges = ranges.withColumnsRenamed({"doc": "__doc", "row": "__row"})
-    return docs.select(*columns).withColumns(keys).join(ranges, ["__doc", "__row"], "left").select(*columns, "__ranges")
+    doc, row, found = fresh(docs.columns, "doc", "row", "ranges")
+    keys = {doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), row: F.xxhash64(F.coalesce("text", F.lit("")))}
+    plain = docs.select(keys[doc].alias("doc"), keys[row].alias("row"), "text")
+    ranges = repeated_ranges(plain, scratch, **options).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias(found))
+    ranges = ranges.withColumnsRenamed({"doc": doc, "row": row})
+    return docs.select(*columns).withColumns(keys).join(ranges, [doc, row], "left").select(*columns, found)
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width_bits: int = WIDTH_BITS) -> DataFrame:
@@ -314,7 +316,7 @@ def stripped(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width_bits
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             _, _, kept = _kept(batch)
-            names = [n for n in batch.schema.names if n != "__ranges"]
+            names = batch.schema.names[:-1]
             columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
             old = columns["text"].to_pylist()
             columns["text"] = pa.array([t if k is None else k for t, k in zip(old, kept, strict=True)], pa.string())

@@ -49,13 +49,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offs
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text; a longer text is a batch of its own."""
+def pieces(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text (or of bytes) in these columns; a longer row is a batch of its own."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        _, offs = text_buffers(batch.column(batch.schema.get_field_index(text)))
-        at = 0
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for name in columns:
+            sizes += pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
+        offs, at = np.r_[0, np.cumsum(sizes)], 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
