@@ -157,6 +157,29 @@ def test_links_among_texts_of_one_template(spark):
     assert found >= 297 and len(set(got.values())) >= 2700
 
 
+def test_rarest_shingles_rule_out_no_link(spark):
+    rng = random.Random(14)
+    base = prose(rng, 120)
+    texts = []
+    for _ in range(120):
+        c = list(base) + prose(rng, rng.randrange(0, 12))
+        for at in rng.sample(range(120), rng.randrange(0, 9)):
+            c[at] = f"edit{rng.randrange(40)}"
+        texts.append(" ".join(c))
+    sets = [shingle_set(t) for t in texts]
+    frame = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(texts)], "digest binary, text string")
+    rows = {}
+    for r in simhash.rare_prefixes(frame, Scratch(spark, "t"), 0.8).collect():
+        rows.setdefault(r.bucket, []).append(r)
+    met, may = set(), 0
+    for group in rows.values():
+        rare = simhash.Rare(*([r[k] for r in group] for k in ("size", "short", "lonely", "rare", "more")), 0.8)
+        for i, j in zip(*np.nonzero(rare.may_link(np.arange(len(group)))), strict=True):
+            met.add((int(group[i].digest), int(group[j].digest)))
+    want = {(i, j) for i in range(120) for j in range(120) if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want <= met and len(want) > 50 and len(met) < 4 * len(want) + 120
+
+
 def test_short_texts(spark):
     rng = random.Random(12)
     texts = []

@@ -8,8 +8,8 @@ Two texts are linked if their sets of 5-word shingles have a Jaccard similarity
    tables is what finds 99.5 % of pairs at similarity 0.8, more of closer ones.
 3. In a unit all pairs are compared by distance. Those within the limit become candidates; of a text with many, the nearest first.
    When these are verified, every unit where some were left out is compared again for texts with others within the limit that no
-   link connects so far. Two of those can be linked only if they share one of their rarest shingles, so they are dealt out by these,
-   and all such pairs within the limit become candidates. Pairs that are connected change no class, so nothing is lost, and texts
+   link connects so far. Two of those can be linked only if they share one of their rarest shingles, so they are dealt out by these;
+   pairs within the limit become candidates unless the rarest shingles alone show that too few are in both. Pairs that are connected change no class, so nothing is lost, and texts
    that share no more than a template meet nowhere.
 4. Candidates are verified on the texts themselves, exactly, and verified links go into connected components.
 
@@ -49,6 +49,8 @@ MANY, FEW = 16, 1
 SLACK = 0.15
 #: Texts with up to so many shingles are found by the shingles themselves: few shingles bend the share of bits that agree.
 SMALL = 24
+#: Shingles of a text that are held against those of others at once.
+TOLD = 128
 #: Bits of the bitmap that tells whose texts are wanted, as a power of two.
 FILTER_BITS = 27
 FIRST_ID = -(1 << 63)
@@ -249,11 +251,31 @@ def _candidates(most: int):
     return run
 
 
-def across(prints: np.ndarray, own: np.ndarray, labels: list[bytes], most: int, size: np.ndarray | None = None, short: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows within the distance that have different labels. Rows of the most common label are not held against each other.
+class Rare:
+    """What is known of each row's shingles: their number, how many no other text has, and the rarest of the others in order."""
 
-    size, short: numbers of shingles, and whether this bucket's is in the short prefix; the smaller text of a pair must have it there.
-    """
+    def __init__(self, size: list[int], short: list[bool], lonely: list[int], rare: list[list[int]], rest: list[bool], similarity: float):
+        self.size, self.short, self.lonely, self.share = np.array(size), np.array(short), np.array(lonely), similarity / (1 + similarity)
+        self.known = [np.array(r, np.int64) for r in rare]
+        # a shingle up to this place in the order that is not among the known ones is not in the text
+        self.top = np.array([k[-1] if more else (1 << 63) - 1 for k, more in zip(self.known, rest, strict=True)])
+        self.counts = np.zeros((len(rare), 1024), np.float32)
+        keys, row = np.concatenate(self.known), np.repeat(np.arange(len(rare)), list(map(len, self.known)))
+        np.add.at(self.counts, (row, (mix(keys.astype(np.uint64)) & np.uint64(1023)).astype(np.int64)), 1)
+
+    def may_link(self, x: np.ndarray) -> np.ndarray:
+        """Whether rows x may be as similar as any row. In both may be at least the known shingles that the other cannot lack."""
+        a, b = self.size[x][:, None], self.size[None, :]
+        both = self.counts[x] @ self.counts.T  # never less than the known shingles in common
+        least = np.ceil(self.share * (a + b) - 1e-9)
+        mine = np.stack([np.searchsorted(self.known[i], self.top, "right") for i in x])
+        theirs = np.stack([np.searchsorted(k, self.top[x], "right") for k in self.known], 1)
+        good = ((a <= b) & self.short[x][:, None]) | ((b <= a) & self.short[None, :])
+        return good & (self.lonely[x][:, None] + mine - both <= a - least) & (self.lonely[None, :] + theirs - both <= b - least)
+
+
+def across(prints: np.ndarray, own: np.ndarray, labels: list[bytes], most: int, rare: Rare | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the distance that have different labels. Rows of the most common label are not held against each other."""
     _, label = np.unique(np.array(labels, object), return_inverse=True)
     sizes = np.bincount(label)
     if len(sizes) == 1:
@@ -267,9 +289,8 @@ def across(prints: np.ndarray, own: np.ndarray, labels: list[bytes], most: int,
         good = (d <= most) & (label[x][:, None] != label[None, :])
         if two:
             good &= own[x][:, None] != own[None, :]
-        if size is not None:
-            a, b = size[x][:, None], size[None, :]
-            good &= ((a <= b) & short[x][:, None]) | ((b <= a) & short[None, :])
+        if rare is not None and good.any():
+            good &= rare.may_link(x)
         i, j = np.nonzero(good)
         yield x[i], j
 
@@ -288,12 +309,19 @@ def _involved(most: int):
     return run
 
 
-def _rest(most: int):
-    """All pairs (a, b) within the distance whose texts no verified link connects so far."""
+def _rest(most: int, similarity: float, few: int | None = None):
+    """Pairs (a, b) within the distance whose texts no verified link connects so far: all, or of each row the nearest few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own, digests, (prints, labels, size, short) in grouped(batches):
-            for x, y in across(_planes(prints), own, labels, most, np.array(size), np.array(short)):
+        for _, own, digests, (prints, labels, *known) in grouped(batches):
+            planes = _planes(prints)
+            for x, y in across(planes, own, labels, most, Rare(*known, similarity)):
+                if few:
+                    far = sum(np.bitwise_count(planes[x, k] ^ planes[y, k]).astype(np.int64) for k in range(planes.shape[1]))
+                    order = np.lexsort((far, x))
+                    x, y = x[order], y[order]
+                    nearest = np.arange(len(x)) - np.searchsorted(x, x) < few
+                    x, y = x[nearest], y[nearest]
                 a, b = np.maximum(x, y), np.minimum(x, y)  # rows are in the order of their digests
                 for at in range(0, len(a), 100_000):
                     yield pa.RecordBatch.from_arrays([_digests(digests, a[at : at + 100_000]), _digests(digests, b[at : at + 100_000])], ["a", "b"])
@@ -311,7 +339,7 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def rare_prefixes(texts: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """(digest, bucket, size, short) for a text's rarest shingles, of which texts of this similarity share one; texts: digest, text.
+    """(digest, bucket, size, short, lonely, rare, more) for a text's rarest shingles, of which texts of this similarity share one.
 
     Of two such texts, the smaller one with n shingles has n - ceil(2 s / (1 + s) n) + 1 rarest ones (`short`), the larger one with m
     has m - ceil(s m) + 1, and these have one in common: so many of the smaller one's shingles are in both. Shingles that no other
@@ -319,11 +347,15 @@ def rare_prefixes(texts: DataFrame, scratch: Scratch, similarity: float) -> Data
     """
     rows = scratch.table(texts.mapInArrow(_shingle_rows, "digest binary, bucket long, size long"), "shingles")
     often = scratch.table(rows.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    own = rows.join(often, "bucket").groupBy("digest").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("often", "bucket"))).alias("all"))
-    alone_ = F.col("size") - F.size("all")
-    reach = lambda share: F.greatest(F.col("size") - F.ceil(F.lit(share) * F.col("size") - 1e-9) + 1 - alone_, F.lit(0)).cast("int")
-    own = own.select("digest", "size", F.posexplode(F.slice("all", F.lit(1), reach(similarity))).alias("place", "x"), reach(2 * similarity / (1 + similarity)).alias("near"))
-    return scratch.table(own.select("digest", "x.bucket", "size", (F.col("place") < F.col("near")).alias("short")), "prefixes")
+    order = F.shiftleft(F.least("often", F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("bucket").bitwiseAND(F.lit((1 << 32) - 1)))
+    own = rows.join(often, "bucket").groupBy("digest").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct(order.alias("order"), "bucket"))).alias("all"))
+    own = own.withColumn("lonely", F.col("size") - F.size("all"))
+    reach = lambda share: F.greatest(F.col("size") - F.ceil(F.lit(share) * F.col("size") - 1e-9) + 1 - F.col("lonely"), F.lit(0)).cast("int")
+    own = own.withColumn("taken", F.slice("all", F.lit(1), reach(similarity)))
+    # of a very long text only the first of these are told to the others; the fewer are known, the less is ruled out
+    told = F.slice("taken.order", F.lit(1), F.lit(TOLD))
+    own = own.select("digest", "size", "lonely", told.alias("rare"), (F.size("all") > F.least(F.size("taken"), F.lit(TOLD))).alias("more"), F.posexplode("taken").alias("place", "x"), reach(2 * similarity / (1 + similarity)).alias("near"))
+    return scratch.table(own.select("digest", "x.bucket", "size", (F.col("place") < F.col("near")).alias("short"), "lonely", "rare", "more"), "prefixes")
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -454,18 +486,24 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: float, cap: int) ->
     links = _links(rows, texts, pairs, scratch, similarity, "first")
     crowded = found.where("a is null").select(*unit)
     if not crowded.isEmpty():
-        labels = scratch.table(star_components(links, scratch.table, scratch.drop), "labels-first")
-        labels = scratch.table(texts.select("digest", "print").join(labels.withColumnRenamed("id", "digest"), "digest", "left").select("digest", "print", F.coalesce("label", "digest").alias("label")), "labelled")
+        def labelled(links: DataFrame, name: str) -> DataFrame:
+            found = scratch.table(star_components(links, scratch.table, scratch.drop), f"labels-{name}").withColumnRenamed("id", "digest")
+            return scratch.table(texts.select("digest", "print").join(found, "digest", "left").select("digest", "print", F.coalesce("label", "digest").alias("label")), f"labelled-{name}")
+
+        labels = labelled(links, "first")
         again = sampled.drop("print").join(crowded, unit, "left_semi").join(labels, "digest")
         involved = scratch.table(dealt(again, "print", "label").mapInArrow(_involved(most), "digest binary").distinct(), "involved")
-        # which of them may be linked at all is left to their rarest shingles, exactly
+        # which of them may be linked at all is left to their rarest shingles, exactly; each one's nearest come first
         prefixes = rare_prefixes(_bodies(rows, texts, involved, scratch, "involved"), scratch, similarity)
-        prefixes = prefixes.join(labels, "digest").withColumn("t", F.lit(-2))
-        mixed = prefixes.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.max("short").alias("short")).where("short and one <> other").select("bucket")
-        cut = units(scratch.table(prefixes.join(mixed, "bucket", "left_semi"), "mixed"), scratch, cap, "large-mixed")
-        rest = dealt(cut, "print", "label", "size", "short").mapInArrow(_rest(most), "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
-        rest = scratch.table(rest, "rest")
-        links = links.union(_links(rows, texts, rest, scratch, similarity, "second"))
+        for name, few in (("nearest", FEW), ("second", None)):
+            known = prefixes.join(labels, "digest").withColumn("t", F.lit(-2))
+            mixed = known.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.max("short").alias("short")).where("short and one <> other").select("bucket")
+            cut = units(scratch.table(known.join(mixed, "bucket", "left_semi"), f"mixed-{name}"), scratch, cap, f"large-{name}")
+            rest = dealt(cut, "print", "label", "size", "short", "lonely", "rare", "more").mapInArrow(_rest(most, similarity, few), "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
+            rest = scratch.table(rest, f"rest-{name}")
+            links, pairs = links.union(_links(rows, texts, rest, scratch, similarity, name)), pairs.union(rest)
+            if few:
+                labels = labelled(links, name)
     short = texts.where("small is not null").select("digest", "small").mapInArrow(_small_rows(similarity), "bucket long, digest binary, small binary").withColumn("t", F.lit(-1))
     short = units(short, scratch, cap, "large-small")
     links = links.union(scratch.table(dealt(short, "small").mapInArrow(_small_links(similarity), "a binary, b binary"), "links-small"))
