@@ -2,8 +2,8 @@
 
 The kernel of two texts is the number of distinct character 1-, 2- and 3-grams that both have, over the root of the product of their
 own numbers. Landmarks (Nystroem) are texts of the training sample; one-versus-rest kernel ridge regression on the landmark features
-learns a weight vector for each language. A text is scored with one product: its gram indicators by the landmarks' indicators by the
-weights; the latter two are multiplied once, so a batch costs a product of sparse indicators and a matrix of grams by languages.
+learns a weight vector for each language. A batch is scored with one product: the texts' gram indicators by the landmarks' indicators
+by the weights; the latter two are multiplied once, so what is left is a sparse matrix by a matrix of grams by languages.
 
 Characters are lower-cased and mapped to 47 classes (letters of the Latin alphabet by themselves, others by a hash), so all grams fit a table.
 
@@ -95,7 +95,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not counts:
         return Model([], np.zeros((GRAMS, 0), np.float32), np.zeros(0))
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30))
+    # the text is hashed, too: rows that share a doc_id are taken or left one by one
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
     share = F.element_at(F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, per_language / n)))))), F.col("lang"))
     chosen = known.select("lang", place.alias("place"), "text", share.alias("share")).where("place < share").select("lang", "place", "text")
     rows = chosen.mapInArrow(_sample, "lang string, place long, grams array<int>").toPandas()
@@ -131,21 +132,36 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     return Model(languages, weights, solved[-1])
 
 
+def products(found: list[np.ndarray], weights: np.ndarray, block: int = 8192) -> np.ndarray:
+    """The products of the texts' gram indicators, as one sparse matrix of a batch, and the matrix of grams by languages."""
+    sizes = np.array([len(g) for g in found], np.int64)
+    index, out = (np.concatenate(found) if len(found) else np.zeros(0, np.int64)), np.zeros((len(found), weights.shape[1]))
+    begins = np.cumsum(sizes) - sizes
+    at = 0
+    while at < len(found):  # about a million rows of the matrix are gathered at once; a longer text alone
+        to = max(at + 1, int(np.searchsorted(begins, begins[at] + (1 << 20), "left")))
+        to = min(to, at + block)
+        some = np.flatnonzero(sizes[at:to]) + at
+        if len(some):
+            rows = weights[index[begins[at] : begins[to - 1] + sizes[to - 1]]]
+            out[some] = np.add.reduceat(rows, begins[some] - begins[at], axis=0, dtype=np.float64)
+        at = to
+    return out
+
+
 def _answer(model: tuple, texts: list[str | None], sharpness: float) -> tuple[list[str], list[float]]:
+    """The language and the score of each text of a batch, by one product for all of them."""
     languages, weights, bias = model
-    lang, score = [], []
-    for text in texts:
-        if not languages or not text or not _LETTER.search(text):
-            lang.append("und")
-            score.append(0.0)
-            continue
-        g = grams(text)
-        y = weights[g].sum(axis=0) / np.sqrt(len(g)) + bias
-        e = np.exp(sharpness * (y - y.max()))
-        best = int(y.argmax())
-        lang.append(languages[best])
-        score.append(float(e[best] / e.sum()))
-    return lang, score
+    lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    some = [i for i, t in enumerate(texts) if languages and t and _LETTER.search(t)]
+    if some:
+        found = [grams(texts[i]) for i in some]
+        y = products(found, weights) / np.sqrt([[len(g)] for g in found]) + bias
+        e = np.exp(sharpness * (y - y.max(axis=1, keepdims=True)))
+        best = y.argmax(axis=1)
+        lang[some] = np.array(languages, object)[best]
+        score[some] = e[np.arange(len(some)), best] / e.sum(axis=1)
+    return lang.tolist(), score.tolist()
 
 
 def _shared(docs: DataFrame, model: Model):
