@@ -1,6 +1,6 @@
 """Quality rules: counts of a text, and a hashed n-gram logistic regression with calibrated probabilities.
 
-Features are relative frequencies of hashed word 1- and 2-grams and byte 2- and 3-grams, each family in its own range of
+Features are relative frequencies of hashed word 1- and 2-grams and character 2- and 3-grams, each family in its own range of
 buckets, and the share of words that lie in a repeated 3-word window. A logistic regression is fitted to a bounded sample of
 labelled texts (Newton steps in the dual), Platt scaling on rows that it has not seen makes its score a probability, and every
 text is scored in Arrow batches and held against a fixed threshold.
@@ -30,6 +30,24 @@ _COUNTED = ((np.arange(256) & 0xC0) != 0x80) & ~SPACE
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts side by side, and where those of each text begin and end."""
+    lo, part = int(offsets[0]), data[int(offsets[0]) : int(offsets[-1])]
+    lead = np.flatnonzero((part & 0xC0) != 0x80)
+    first = part[lead]
+    if not len(lead) or int(first.max()) < 0x80:
+        return part.astype(np.uint32), (offsets - lo).astype(np.int64)
+    more = np.r_[part, np.zeros(3, np.uint8)].astype(np.uint32) & np.uint32(0x3F)
+    code = first.astype(np.uint32)
+    for low, length, mask in ((0xC0, 2, 0x1F), (0xE0, 3, 0x0F), (0xF0, 4, 0x07)):
+        at = np.flatnonzero((first >= low) & (first < (0xE0, 0xF0, 0x100)[length - 2]))
+        value = first[at].astype(np.uint32) & np.uint32(mask)
+        for k in range(1, length):
+            value = value << np.uint32(6) | more[lead[at] + k]
+        code[at] = value
+    return code, np.searchsorted(lead, offsets - lo)
+
+
 class Counted:
     """The words and the counts of each text of a batch."""
 
@@ -61,15 +79,14 @@ class Counted:
         yield (h & mask).astype(np.int32), first, second
         pairs = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) else h
         yield (pairs & mask).astype(np.int32), np.minimum(first, len(pairs)), np.clip(second - 1, np.minimum(first, len(pairs)), len(pairs))
-        lo, hi = w.offsets[0], w.offsets[-1]
-        b = w.data[lo:hi].astype(np.uint32)
+        chars, offs = characters(w.data, w.offsets)
         for n in (2, 3):
-            code = b[: max(0, len(b) - n + 1)].copy()
+            code = chars[: max(0, len(chars) - n + 1)].copy()
             for k in range(1, n):
-                code = code * np.uint32(257) + b[k : len(code) + k]
+                code = code * np.uint32(0x01000193) + chars[k : len(code) + k]
             code *= np.uint32(0x9E3779B1)
-            begins = np.minimum(w.offsets[:-1] - lo, len(code))
-            yield (code >> np.uint32(32 - BITS)).astype(np.int32), begins, np.clip(w.offsets[1:] - lo - n + 1, begins, len(code))
+            begins = np.minimum(offs[:-1], len(code))
+            yield (code >> np.uint32(32 - BITS)).astype(np.int32), begins, np.clip(offs[1:] - n + 1, begins, len(code))
 
     def repeated_share(self) -> np.ndarray:
         return self.counts["n_repeat_words"] / np.maximum(1, self.counts["n_words"])
@@ -144,8 +161,12 @@ class Sparse:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, ridge: float = 2e-5) -> Model:
     """docs: doc_id, text; labels: doc_id and the label column, 1 for good. Learns from at most `sample` rows, taken by a hash."""
     chosen = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"), F.abs(F.xxhash64(F.col("doc_id"), F.lit(7))).alias("place")).orderBy("place", "doc_id").limit(sample)
-    # at most `sample` rows of three numbers are broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "place", "text").mapInArrow(_vectors, "label int, place long, index binary, value binary").toPandas()
+    # at most `sample` rows of three numbers are broadcast; where a doc_id is repeated, the join is bounded again
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "place", "text")
+    vectors = rows.mapInArrow(_vectors, "label int, place long, index binary, value binary")
+    if docs.select("doc_id").join(F.broadcast(chosen), "doc_id").count() > sample:
+        vectors = vectors.orderBy("place", "label", "index").limit(sample)
+    rows = vectors.toPandas()
     rows = rows.sort_values("place", kind="stable").reset_index(drop=True)
     y = rows["label"].to_numpy(np.float64)
     size = (4 << BITS) + 1
