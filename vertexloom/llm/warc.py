@@ -5,8 +5,8 @@ stored apart with the digest that it refers to. A record is rebuilt as header, p
 digest, and no payload is handed out whose digest is another than its key. Of equal payloads of at least `least_bytes` bytes the page
 with the greatest page_id is the response and the others are revisits of it.
 
-Writing moves the page's key and digest through one shuffle and each distinct payload, compressed, through another; reading moves
-payloads once. A payload that a third of all pages have is one row of the store; the pages are joined with it from tables that are read
+Writing moves the page's key and digest through one shuffle and payloads, compressed and without the copies that stand near each other
+in the input, through another; reading moves payloads once. A payload that a third of all pages have is one row of the store; the pages are joined with it from tables that are read
 from files, so Spark splits the hot digest.
 
 Results, by case: a null html is an empty payload; a null url has no WARC-Target-URI, and line ends in a url are percent-encoded; a
@@ -65,10 +65,17 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of equal payloads in 32 MB of pages only that with the greatest page_id goes on: no other can be the response."""
     squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in pieces(batches, "html"):
-        body = _payloads(batch)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(b).digest() for b in body], pa.binary()), pa.array(list(map(squeeze.compress, body)), pa.binary())], ["page_id", "digest", "body"])
+    for batch in pieces(batches, "html", most=32 << 20):
+        body, page = _payloads(batch), [FIRST_ID if p is None else p for p in batch.column(0).to_pylist()]
+        digests = [hashlib.sha256(b).digest() for b in body]
+        best: dict[bytes, int] = {}
+        for i, d in enumerate(digests):
+            if d not in best or page[i] > page[best[d]]:
+                best[d] = i
+        keep = sorted(best.values())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([digests[i] for i in keep], pa.binary()), pa.array([squeeze.compress(body[i]) for i in keep], pa.binary())], ["page_id", "digest", "body"])
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +122,9 @@ def records(archive: Archive) -> DataFrame:
     whole = heads.where("record_type = 'response'").join(archive.table("payloads"), "digest").select("page_id", "head", "digest", "body")
 
     def join_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                _, head, digest, body = (c.to_pylist() for c in part.columns)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.encode() + _opened(d, b) + END for h, d, b in zip(head, digest, body, strict=True)], pa.binary())], ["page_id", "record"])
+        for part in pieces(batches, "body", most=1 << 20):
+            _, head, digest, body = (c.to_pylist() for c in part.columns)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.encode() + _opened(d, b) + END for h, d, b in zip(head, digest, body, strict=True)], pa.binary())], ["page_id", "record"])
 
     rest = heads.where("record_type = 'revisit'").select("page_id", F.concat(F.col("head").cast("binary"), F.lit(END)).alias("record"))
     return whole.mapInArrow(join_bytes, "page_id long, record binary").union(rest)
@@ -150,7 +155,7 @@ def listing(found: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to, read from the records' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "record"):
             got = [parse(r) for r in batch.column(0).to_pylist()]
             heads = [g["headers"] for g in got]
             yield pa.RecordBatch.from_arrays([
@@ -168,10 +173,8 @@ def restore(archive: Archive) -> DataFrame:
     """page_id and the html of every page, revisits included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_opened(d, b).decode("utf-8", "replace") for d, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)], pa.string())], ["page_id", "html"])
+        for part in pieces(batches, "body", most=1 << 20):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_opened(d, b).decode("utf-8", "replace") for d, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)], pa.string())], ["page_id", "html"])
 
     return archive.table("heads").select("page_id", "digest").join(archive.table("payloads"), "digest").select("page_id", "digest", "body").mapInArrow(run, "page_id long, html string")
 
