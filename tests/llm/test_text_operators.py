@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from vertexloom.llm import bpe, langid, quality_bayes, quality_rules, queries, token_files
 from vertexloom.llm.scratch import Scratch
-from vertexloom.llm.textops import Words
+from vertexloom.llm.textops import Words, text_buffers
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -213,23 +213,49 @@ def test_quality_on_rows_not_learnt_from(spark):
     assert quality_rules.fit(docs, labels.limit(0)).log_odds(quality_rules.Counted(pa.array(["x"])))[0] > 0
 
 
-def test_site_posteriors_shrink_sparse_groups(spark):
-    good = ["plain words that read well " * 5] * 40
-    rows = [(i, t, "big" if i < 40 else "tiny", None, 1) for i, t in enumerate([*good, "plain words here", None])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, p int")
-    model = quality_rules.Model(np.zeros((4 << quality_rules.BITS) + 1), 2.0)
-    got = quality_bayes.classify(docs, model).collect()
-    assert len(got) == 42 and all(r.kept for r in got)
-    assert all(abs(r.p_site - r.p_text) < 0.2 for r in got)
-    assert quality_bayes.classify(docs.limit(0), model).count() == 0
+def test_posteriors_of_labels_by_hand(spark):
+    """Two sites with sections, every figure computed again in plain Python; sparse groups stay near their parents."""
+    groups = {("a", "x"): (18, 20), ("a", "y"): (10, 20), ("b", "x"): (2, 20), ("b", "y"): (1, 1), ("c", "x"): (0, 0)}  # good, labelled
+    rows, labels = [], []
+    for (site, section), (good, n) in groups.items():
+        for k in range(n + 1):  # one of each group has no label
+            rows.append((len(rows), "plain words", site, section, 5))
+            if k < n:
+                labels.append((len(rows) - 1, int(k < good)))
+    labels += [(None, 1), (10**6, 0), (0, None)]
+    docs = spark.createDataFrame(rows + [(None, None, None, None, 5)], "doc_id long, text string, source string, lang string, p int")
+    model = quality_rules.Model(np.zeros((4 << quality_rules.BITS) + 1), 0.4)
+    got = {r.doc_id: r for r in quality_bayes.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), model).collect()}
+
+    def strength(shares):  # (good, n, mean)
+        v = sum(n * m * (1 - m) for _, n, m in shares) / sum(n for _, n, _ in shares)
+        between, each = sum(n * (g / n - m) ** 2 for g, n, m in shares), sum(n for _, n, _ in shares) / len(shares)
+        return 1 / min(max((between / (len(shares) * v) - 1) / (each - 1), 1e-4), 0.5) - 1
+
+    prior = 31 / 61
+    sites = {"a": (28, 40), "b": (3, 21), "c": (0, 0), "": (0, 0)}
+    k = strength([(g, n, prior) for g, n in sites.values() if n])
+    mean = {s: (g + k * prior) / (n + k) for s, (g, n) in sites.items()}
+    k2 = strength([(g, n, mean[s]) for (s, _), (g, n) in groups.items() if n])
+    label = {d: y for d, y in labels if y is not None and d is not None}
+    logit = lambda p: np.log(p / (1 - p))
+    for d, _, site, section, _ in [*rows, (None, None, "", "", 5)]:
+        good, n = groups.get((site, section), (0, 0))
+        own = (good - label.get(d, 0) + k2 * mean[site]) / (n - (d in label) + k2)
+        shift = 0.5 * min(max(logit(own) - logit(prior), -2), 2)
+        want = 1 / (1 + np.exp(-(0.4 + shift)))
+        assert abs(got[d].p_site - own) < 1e-9 and abs(got[d].p_quality - want) < 1e-9 and got[d].kept == (want >= 0.5)
+    assert len(got) == len(rows) + 1 and quality_bayes.classify(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"), model).count() == 0
+    assert all(abs(r.p_quality - r.p_text) < 1e-9 for r in quality_bayes.classify(docs, spark.createDataFrame([], "doc_id long, quality int"), model).collect())
 
 
 @needs_tables
 def test_op8_keeps_good_documents(spark):
-    got = queries.op8_quality_classifier(spark, "/root/testdata/sf0.01")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    rows = got.join(labels, "doc_id").collect()
-    assert got.count() == 1000 and np.mean([r.kept == (r.quality == 1) for r in rows]) > 0.97
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    learnt = labels.where("doc_id % 3 <> 0")  # the others are only judged
+    got = quality_bayes.classify(docs, learnt, quality_rules.fit(docs, learnt))
+    rows = got.join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    assert got.count() == 1000 and len(rows) > 100 and np.mean([r.kept == (r.quality == 1) for r in rows]) > 0.95
 
 
 @needs_tables
@@ -270,3 +296,28 @@ def test_quality_model_learns_whole_sample_without_dense_rows():
     x, alpha, weights = quality_rules.Sparse(index, value, 5000), rng.random(30), rng.random(5000)
     assert np.allclose(x.gram(30), dense[:30] @ dense[:30].T, atol=1e-4)
     assert np.allclose(x.weighted(alpha), dense[:30].T @ alpha) and np.allclose(x.times(weights), dense @ weights)
+
+
+def test_characters_are_code_points():
+    texts = ["aé日😀", "", "plain", "\x80ÿĀ߿ࠀ￿𐀀", "zz"]
+    for part in (texts, texts[2:3], ["", ""]):
+        data, offs = text_buffers(pa.array(part))
+        chars, ends = quality_rules.characters(data, offs)
+        assert chars.tolist() == [ord(c) for t in part for c in t]
+        assert ends.tolist() == np.cumsum([0, *map(len, part)]).tolist()
+
+
+def test_sample_stays_bounded_when_ids_repeat(spark):
+    docs = spark.createDataFrame([(i % 3, f"some words number {i} " * 3) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    assert isinstance(quality_rules.fit(docs, labels, sample=10), quality_rules.Model)
+    found = docs.withColumn("lang", F.lit("en")).withColumn("doc_id", F.lit(1).cast("long"))
+    assert langid.fit(found, per_language=5).languages == ["en"]
+
+
+def test_products_of_a_batch():
+    rng = np.random.default_rng(9)
+    weights = rng.random((langid.GRAMS, 3)).astype(np.float32)
+    found = [np.sort(rng.choice(langid.GRAMS, n, replace=False)) for n in (5, 0, 900, 1, 0)]
+    assert np.allclose(langid.products(found, weights), [weights[g].sum(axis=0) for g in found], rtol=1e-4)
+    assert np.allclose(langid.products(found, weights, block=2), langid.products(found, weights)) and langid.products([], weights).shape == (0, 3)

@@ -81,8 +81,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vertexloom.llm import quality_bayes, quality_rules
 
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
-    return quality_bayes.classify(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_bayes.classify(docs, labels, quality_rules.fit(docs, labels))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
