@@ -354,7 +354,63 @@ def test_main_text(spark):
     assert got == want
     assert html_text.extract(pages.limit(0)).count() == 0
     again = html_text.extract(pages.where("page_id = 1").union(pages.where("page_id = 1"))).collect()
-    assert [r.text for r in again] == ["", ""]
+    assert [r.text for r in again] == ["Menu A\nUnique one\nCopyright"] * 2
+
+
+def test_words_of_classes_and_quotes_in_tags(spark):
+    """What only looks like boilerplate goes if the neighbour has it, too; a quote without an equals sign opens nothing."""
+    page = "<nav>n</nav><article><h1>T{0}</h1><p class='share-price'>Price {0}</p><div class='notice-period'>Notice {0}</div><section id='comments-on-kant'>Kant {0}</section><p class='share-story-17'>Tell your friends</p><div class='comment-list'>c{0}</div><div class='adBox'>buy{0}</div></article>"
+    rows = [(i, f"http://h.org/a/{i}", page.format(i)) for i in (1, 2, 3)]
+    rows += [(8, "q1", "<article><a title='it's'>two</a><p>three isn't</p></article>"), (9, "q2", '<article><p>x<img alt="5" tall"> y</p></article>'), (10, "q3", "<article><p title=\"a>b\">z</p><p x='" + "=\"" * 3000)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i}\nPrice {i}\nNotice {i}\nKant {i}" for i in (1, 2, 3)} | {8: "two\nthree isn't", 9: "x y", 10: "z"}
+
+
+def brute_texts(rows):
+    """rows: (page_id, url, html). Quadratic pairing and alignment, page by page."""
+
+    def lcs(a, b):
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+        return best[-1, -1]
+
+    parsed = {p: (*html_text.place(u), *html_text.lines(h or "")) for p, u, h in rows}
+    out = {}
+    for p, (host, path, found, kinds) in parsed.items():
+        groups = {}
+        for q, (other_host, other_path, other, _) in parsed.items():
+            if other_host == host:
+                groups[tuple(other)] = min(groups.get(tuple(other), (other_path, q)), (other_path, q))
+        order = sorted((v, k) for k, v in groups.items())
+        at = [k for _, k in order].index(tuple(found))
+        same = lambda k: next((i for i, (x, y) in enumerate(zip(order[at][0][0].split("/"), order[k][0][0].split("/"))) if x != y), min(len(order[at][0][0].split("/")), len(order[k][0][0].split("/"))))  # noqa: B023, E731
+        near = [k for k in (at - 1, at + 1) if 0 <= k < len(order)]
+        theirs = list(order[max(near, key=lambda k: (same(k), -k))][1]) if near and html_text.undecided(kinds) else []
+        gone = html_text.shared(found, theirs)
+        assert len(gone) == lcs(found, theirs)
+        out[p] = "\n".join(html_text.kept(found, kinds, gone))
+    return out
+
+
+@needs_tables
+def test_main_text_by_brute_force(spark):
+    rng = random.Random(15)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    menus = [f"<div>Menu {i}</div>" for i in range(6)]
+    for i in range(60):
+        body = "".join(rng.choice([*menus, f"<p>own {rng.randrange(90)}</p>", f"<p class='share-x'>maybe {rng.randrange(4)}</p>"]) for _ in range(rng.randint(0, 12)))
+        rows.append((1000 + i, f"http://{rng.choice('xy')}.org/{rng.choice('ab')}/{rng.choice('cd')}/{i}", f"<article><p>it</p>{body}</article>" if i % 3 == 0 else body))
+    rows += [(2000 + i, "http://x.org/a/c/0", rows[-1][2]) for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == brute_texts(rows)
+
+
+def test_alignment_of_long_and_of_equal_lines():
+    equal, long_ = ["x"] * 8000, [str(i % 700) for i in range(20000)]
+    assert len(html_text.shared(["a", *equal, "b"], ["c", *equal[:5000], "d"])) == 5000
+    assert len(html_text.shared(["p", *long_, "q"], ["r", *long_, "s"])) == 20000
 
 
 def test_copies_of_a_page_keep_what_other_pages_do_not_have(spark):
@@ -374,6 +430,7 @@ def test_longest_common_subsequence():
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         got = sorted(html_text.shared(a, b))
+        assert len(html_text.shared(a, b, most=4)) == len(got)
         assert len(got) == best[-1][-1]
         it = iter(b)
         assert all(a[i] in it for i in got)
