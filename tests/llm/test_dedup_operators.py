@@ -281,18 +281,24 @@ def test_a_slot_that_conflicts_loses_its_own_windows_only():
     assert index.matches("alpha " + " ".join(map(str, range(20, 40)))) == [(3, 21, 21, True)]
 
 
-def test_decontamination_in_blocks(spark):
+def test_decontamination(spark):
     rng = random.Random(8)
-    items = [(i, " ".join(prose(rng, 30))) for i in range(12)] + [(None, None), (99, "")]
+    items = [(i, " ".join(prose(rng, 30))) for i in range(12)] + [(None, None), (99, ""), (12, TEMPLATE), (13, TEMPLATE), (14, "a b c d"), (None, "w1 x2 y3 " * 9)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = [" ".join([*prose(rng, 50), *t.split()[:take], *prose(rng, 20)]) for _, t in items[:12] for take in (30, 15, 9)] + [None, "", items[0][1], items[0][1]]
-    docs = docs_of(spark, texts)
-    want = {(3 * i + k, i) for i in range(12) for k in (0, 1)} | {(38, 0), (39, 0)}
-    for block in (1 << 20, 200):
-        assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench, block).collect()} == want
-        kept = decontaminate.clean(docs, bench, block)
-        assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == set(range(40)) - {d for d, _ in want}
+    texts += [TEMPLATE.replace("5 apples", "8 apples"), TEMPLATE.replace("Tom", "Bill") * 3, "a B c. d", "w1 x2 y3 " * 40, "word " * 50_000 + TEMPLATE]
+    docs = docs_of(spark, texts).withColumn("uid", F.lit(5))
+    index = decontaminate.Index(items)
+    want = {(d, *m) for d, t in enumerate(texts) for m in index.matches(t)}
+    assert {(3 * i + k, i) for i in range(12) for k in (0, 1)} | {(38, 0), (39, 0)} <= {m[:2] for m in want} and len(want) > 30
+    got = [tuple(r) for r in decontaminate.matches(docs, bench).collect()]
+    assert len(got) == len(want) and set(got) == want
+    kept = decontaminate.clean(docs, bench)
+    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {m[0] for m in want}
+    twice = spark.createDataFrame([(None, TEMPLATE), (None, TEMPLATE), (1, TEMPLATE)], "doc_id long, text string")
+    assert sorted(map(str, decontaminate.matches(twice, bench).select("doc_id", "item_id").collect())) == sorted(f"Row(doc_id={d}, item_id={i})" for d in (None, None, 1) for i in (12, 13))
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), bench).count() == 0
+    assert decontaminate.clean(docs, bench.limit(0)).count() == len(texts)
 
 
 @needs_tables
@@ -301,6 +307,8 @@ def test_op10_finds_the_items_that_stand_in_documents(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, SF).collect()}
     assert {(d, i) for d, t in docs.items() for i, b in items.items() if b in t} <= got
+    index = decontaminate.Index(list(items.items()))
+    assert got == {(d, m[0]) for d, t in docs.items() for m in index.matches(t)}
     words = {d: set(zip(*(t.lower().split()[k:] for k in range(4)))) for d, t in docs.items()}
     assert all(words[d] & set(zip(*(items[i].lower().split()[k:] for k in range(4)))) for d, i in got)
 

@@ -7,8 +7,9 @@ line: one value of a placeholder in the item stands for one value in the documen
 other parameters. A window that has the item's own values counts always; one with fewer than 3 literals counts only so. A document is
 contaminated by an item if windows that count cover 13 of the item's words, or all of a shorter item.
 
-The benchmark is taken in blocks of a bounded number of bytes, each sent to the workers and held against all documents; documents are
-not shuffled.
+Windows of items are a table. Documents are read once: those of their windows that a bitmap of fixed size lets through are written with
+the words that fill their slots, and are joined with the items' windows by hash; so only these windows move, whatever the size of the
+benchmark. A document and an item that have windows in common are then judged together; that group is no larger than the two of them.
 
 Results, by case: null and empty texts match nothing; an item of fewer than 3 words is never matched, one of fewer
 than 3 literals by its exact words only; an item of fewer than 8 words
@@ -19,21 +20,23 @@ gives none; extra columns are left out (`matches`) or kept (`clean`); a null ite
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.functions.names import fresh
+from vertexloom.llm.scratch import Scratch
 from vertexloom.llm.textops import WIDE, mix, pieces, powers
 from vertexloom.llm.workers import claim
 
 WINDOW, COVERED, LITERALS = 8, 13, 3
-#: Bytes of benchmark text that are sent to the workers at once.
-BLOCK_BYTES = 8 << 20
+#: The most bits of the bitmap of the benchmark's windows, as a power of two; smaller benchmarks have 16 to 32 bits for each window.
+FILTER_BITS = 28
 _UNITS = frozenset("mm cm m km in ft mi inch inches foot feet mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ml l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kph hz khz mhz ghz kb mb gb tb w kw v degrees".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:e[+-]?\d+)?(?:st|nd|rd|th|%)?$")
 _JOINED = re.compile(r"([+-]?\d+(?:[.,]\d+)*)([^\W\d_]+)$")
@@ -117,112 +120,180 @@ def windows(hashes: np.ndarray, kind: np.ndarray, k: int, few: bool = False) ->
     return at, mix((sums[at + k] - sums[at]) * down[at]) ^ np.uint64(k)
 
 
+class Windows:
+    """The words of a text that count, and its windows of given lengths."""
+
+    def __init__(self, text: str | None):
+        self.words = (text or "").encode("utf-8", "replace").split()
+        self.at, self.kind, self.hashes, self.exact = template(self.words)
+
+    def of(self, k: int, few: bool) -> tuple[np.ndarray, np.ndarray]:
+        return windows(self.exact if few else self.hashes, self.kind, k, few)
+
+    def values(self, place: int, k: int) -> list[int]:
+        """A hash of each word of a window, as it fills a slot."""
+        return [_value(self.words[self.at[p]]) for p in range(place, place + k)]
+
+
+def _value(word: bytes) -> int:
+    return _hash(_EDGES.sub("", word.decode("utf-8", "replace")).lower()) - (1 << 63)
+
+
+def counted(hits: list[tuple[int, int, int, bool, list[int], list[int], list[int]]], size: int) -> tuple[int, bool] | None:
+    """Covered words of an item and whether all slots have its own values, or None if too few are covered.
+
+    hits: a window's place in the document and in the item, its length, whether it is of few literals, the kinds of the item's words,
+    and the values of both; size: the words of the item.
+    """
+    lines: dict[int, dict[tuple[int, bool], tuple[list[int], list[int], list[int]]]] = {}
+    for p, place, _, few, *slots in hits:
+        lines.setdefault(p - place, {})[place, few] = slots
+    covered: set[int] = set()
+    same = True
+    for _, begins in sorted(lines.items()):
+        filled = {b: [((k, u), (k, v)) for k, u, v in zip(*slots, strict=True) if k != LITERAL] for b, slots in begins.items()}
+        there, back = {}, {}
+        for (_, few), pairs in filled.items():
+            if not few:
+                for u, v in pairs:
+                    there.setdefault(u, set()).add(v)
+                    back.setdefault(v, set()).add(u)
+        for (place, few), pairs in filled.items():
+            exact = all(u == v for u, v in pairs)
+            if exact or not few and all(len(there[u]) == 1 == len(back[v]) for u, v in pairs):
+                covered.update(range(place, place + len(begins[place, few][0])))
+                same = same and exact
+    return (len(covered), same) if len(covered) >= min(COVERED, size) and covered else None
+
+
+def _item_windows(text: str | None) -> Iterator[tuple[int, int, int, bool, list[int], list[int]]]:
+    """key, place, length, few, kinds and values of each window of an item."""
+    w = Windows(text)
+    k = min(WINDOW, len(w.at))
+    if k < LITERALS:
+        return
+    for few in (False, True):
+        for place, key in zip(*w.of(k, few), strict=True):
+            yield int(key.view(np.int64)), int(place), k, few, w.kind[place : place + k].tolist(), w.values(int(place), k)
+
+
 class Index:
-    """The windows of a block of benchmark items."""
+    """A few items in one process: what `matches` does over the cluster, for one text at a time."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.items = [(i, (t or "").encode("utf-8", "replace").split()) for i, t in items]
-        self.parts = [template(w) for _, w in self.items]
-        keys, owner, place, self.lengths = [], [], [], set()  # lengths of windows, and whether they are of few literals
-        for n, (_, kind, hashes, exact) in enumerate(self.parts):
-            k = min(WINDOW, len(hashes))
-            if k < LITERALS:
-                continue
-            for few in (False, True):
-                at, key = windows(exact if few else hashes, kind, k, few)
-                if len(at):
-                    self.lengths.add((k, few))
-                keys.append(key)
-                owner.append(np.full(len(at), n))
-                place.append(at)
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        key, owner, place = cat(keys, np.uint64), cat(owner, np.int64), cat(place, np.int64)
-        order = np.argsort(key, kind="stable")
-        self.key, self.owner, self.place = key[order], owner[order], place[order]
-        self.may = np.zeros(1 << 22, bool)
-        self.may[(self.key >> np.uint64(42)).astype(np.int64)] = True
+        self.items = [(i, len(Windows(t).at)) for i, t in items]
+        self.found: dict[int, list[tuple]] = {}
+        for n, (_, text) in enumerate(items):
+            for key, *rest in _item_windows(text):
+                self.found.setdefault(key, []).append((n, *rest))
+        self.lengths = {(k, few) for x in self.found.values() for _, _, k, few, *_ in x}
 
     def matches(self, text: str | None) -> list[tuple[int | None, int, int, bool]]:
         """(item_id, covered words, words of the item, whether all slots have the item's own values) for each contaminating item."""
-        words = (text or "").encode("utf-8", "replace").split()
-        if not words or not len(self.key):
-            return []
-        at, kind, hashes, exact_hashes = template(words)
-        hits = []
+        w, hits = Windows(text), {}
         for k, few in self.lengths:
-            where, key = windows(exact_hashes if few else hashes, kind, k, few)
-            near = self.may[(key >> np.uint64(42)).astype(np.int64)]
-            where, key = where[near], key[near]
-            lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-            for p, a, b in zip(where[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
-                hits += [(int(self.owner[x]), int(p - self.place[x]), int(self.place[x]), k, few) for x in range(a, b)]
-        lines: dict[tuple[int, int], list[tuple[int, bool]]] = {}
-        for n, line, place, k, few in hits:
-            if min(WINDOW, len(self.parts[n][2])) == k:
-                lines.setdefault((n, line), []).append((place, few))
-        covered: dict[int, set[int]] = {}
-        same: dict[int, bool] = {}
-        for (n, line), begins in sorted(lines.items()):
-            own, k = self.items[n][1], min(WINDOW, len(self.parts[n][2]))
-            item_at, item_kind = self.parts[n][:2]
-            slots: dict[int, tuple] = {}
-            for p in {p for begin, _ in begins for p in range(begin, begin + k)}:
-                if item_kind[p] != LITERAL:
-                    slots[p] = tuple((int(item_kind[p]), _EDGES.sub("", x.decode("utf-8", "replace")).lower()) for x in (own[item_at[p]], words[at[line + p]]))
-            there, back = {}, {}
-            for begin, few in begins:
-                if not few:
-                    for u, v in (slots[p] for p in range(begin, begin + k) if p in slots):
-                        there.setdefault(u, set()).add(v)
-                        back.setdefault(v, set()).add(u)
-            for begin, few in begins:
-                inside = [slots[p] for p in range(begin, begin + k) if p in slots]
-                exact = all(u == v for u, v in inside)
-                if exact or not few and all(len(there[u]) == 1 == len(back[v]) for u, v in inside):
-                    covered.setdefault(n, set()).update(range(begin, begin + k))
-                    same[n] = same.get(n, True) and exact
-        return [(self.items[n][0], len(c), len(self.parts[n][2]), same[n]) for n, c in sorted(covered.items()) if len(c) >= min(COVERED, len(self.parts[n][2]))]
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield [tuple(r) for r in part]
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            for p, key in zip(*w.of(k, few), strict=True):
+                for n, place, size, other, kinds, values in self.found.get(int(key.view(np.int64)), ()):
+                    if (size, other) == (k, few):
+                        hits.setdefault(n, []).append((int(p), place, k, few, kinds, values, w.values(int(p), k)))
+        found = [(n, counted(h, self.items[n][1])) for n, h in sorted(hits.items())]
+        return [(self.items[n][0], c[0], self.items[n][1], c[1]) for n, c in found if c]
+
+
+_ITEM = "item long, item_id long, size int, key long, place int, k int, few boolean, kinds array<int>, own array<long>"
+_HIT = "uid long, key long, p int, k int, few boolean, value array<long>"
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("decontaminate", _codes.clear)
+    for batch in pieces(batches, "text"):
+        for item, item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = list(_item_windows(text))
+            size = len(Windows(text).at)
+            key, place, k, few, kinds, values = zip(*found, strict=True) if found else ((),) * 6
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.int64()), pa.array([item_id] * n, pa.int64()), pa.array([size] * n, pa.int32()), pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(k, pa.int32()), pa.array(few, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))], ["item", "item_id", "size", "key", "place", "k", "few", "kinds", "own"])
+
+
+def _near(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = (key >> np.uint64(65 - (8 * len(bitmap)).bit_length())).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _bitmap(items: DataFrame) -> Broadcast:
+    """The first bits of all items' keys: 32 MB at most."""
+    size = max(16, min(FILTER_BITS, (16 * items.count()).bit_length()))
+    at = F.shiftrightunsigned("key", 64 - size) + 1  # Spark numbers bits from 1
+    parts = items.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bitmap = bytearray(max(4096, 1 << (size - 3)))
+    for r in parts.collect():  # 8192 parts of 4 kB at most
+        bitmap[(r["part"] - 1) * 4096 : r["part"] * 4096] = r["bits"]
+    bitmap = bitmap[: 1 << (size - 3)]
+    return items.sparkSession.sparkContext.broadcast(bytes(bitmap))
+
+
+def _hits(bitmap: Broadcast, lengths: list[tuple[int, bool]]):
+    """The windows of documents (uid, text) that an item may have, too."""
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        uid, key, p, k, few, value = zip(*out, strict=True) if out else ((),) * 6
+        return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(key, pa.int64()), pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(few, pa.bool_()), pa.array(value, pa.list_(pa.int64()))], ["uid", "key", "p", "k", "few", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate", _codes.clear)
+        bits, out = np.frombuffer(bitmap.value, np.uint8), []
+        for batch in pieces(batches, "text"):
+            for uid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w = Windows(text)
+                for k, few in lengths:
+                    where, key = w.of(k, few)
+                    near = np.flatnonzero(_near(bits, key))
+                    for at in range(0, len(near), 10_000):
+                        some = near[at : at + 10_000]
+                        out += [(uid, int(x), int(p), k, few, w.values(int(p), k)) for p, x in zip(where[some], key[some].view(np.int64), strict=True)]
+                        if len(out) >= 10_000:
+                            yield rows(out)
+                            out = []
+        if out:
+            yield rows(out)
+
+    return run
+
+
+def _resolved(hits: pa.Table) -> pa.Table:
+    """One row for a document and an item, if it is contaminated by it."""
+    rows = hits.to_pydict()
+    found = counted(list(zip(*(rows[c] for c in ("p", "place", "k", "few", "kinds", "own", "value")), strict=True)), rows["size"][0])
+    one = [rows[c][:1] if found else [] for c in ("uid", "item_id", "size")]
+    return pa.table([pa.array(one[0], pa.int64()), pa.array(one[1], pa.int64()), pa.array([found[0]] if found else [], pa.int64()), pa.array(one[2], pa.int64()), pa.array([found[1]] if found else [], pa.bool_())], ["uid", "item_id", "n_covered", "n_item_words", "exact"])
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs: uid, text. uid, item_id, n_covered, n_item_words and exact."""
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    items = scratch.table(items.mapInArrow(_items, _ITEM), "items")
+    lengths = [(r["k"], r["few"]) for r in items.select("k", "few").distinct().collect()]  # six lengths, of few literals or not
+    hits = docs.mapInArrow(_hits(_bitmap(items), lengths), _HIT).dropDuplicates(["uid", "key", "p", "k", "few"])  # rows that are equal throughout
+    hits = scratch.table(hits, "hits")
+    # both sides are written tables, so Spark knows their sizes and splits a window that very many texts have
+    met = hits.join(items, ["key", "k", "few"])
+    return met.groupBy("uid", "item").applyInArrow(_resolved, "uid long, item_id long, n_covered long, n_item_words long, exact boolean")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_covered, n_item_words and exact for each contaminated document (doc_id, text) and its items (item_id, text)."""
-    out = None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for block in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    # a row is known by a hash that is the same for equal rows
+    uid = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), uid.alias("uid"), "text")
+    found = scratch.table(_contaminated(rows.select("uid", "text"), benchmark, scratch), "found")
+    return rows.select("doc_id", "uid").join(found, "uid").select("doc_id", "item_id", "n_covered", "n_item_words", "exact")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            claim("decontaminate", _codes.clear)
-            index = Index(shared.value)
-            for batch in pieces(batches, "text"):
-                found = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in index.matches(t)]
-                doc, item, covered, size, exact = zip(*found, strict=True) if found else ([],) * 5
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(covered, pa.int64()), pa.array(size, pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "item_id", "n_covered", "n_item_words", "exact"])
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, n_covered long, n_item_words long, exact boolean")
-        out = part if out is None else out.union(part)
-    return out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text no item contaminates."""
-    for block in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            claim("decontaminate", _codes.clear)
-            index = Index(shared.value)
-            for batch in pieces(batches, "text"):
-                yield batch.filter(pa.array([not index.matches(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    (uid,) = fresh(docs.columns, "uid")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    found = scratch.table(_contaminated(docs.select(key.alias("uid"), "text"), benchmark, scratch).select(F.col("uid").alias(uid)).distinct(), "found")
+    return docs.withColumn(uid, key).join(found, uid, "left_anti").select(*docs.columns)
