@@ -35,8 +35,10 @@ from vertexloom.llm.textops import WIDE, mix, pieces, powers
 from vertexloom.llm.workers import claim
 
 WINDOW, COVERED, LITERALS = 8, 13, 3
-#: The most bits of the bitmap of the benchmark's windows, as a power of two; smaller benchmarks have 16 to 32 bits for each window.
+#: The most bits of the bitmap of the benchmark's windows, as a power of two; smaller benchmarks have 256 bits or more for each window.
 FILTER_BITS = 28
+#: Where the bits of a key's two places begin.
+SHIFTS = (36, 5)
 _UNITS = frozenset("mm cm m km in ft mi inch inches foot feet mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ml l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kph hz khz mhz ghz kb mb gb tb w kw v degrees".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:e[+-]?\d+)?(?:st|nd|rd|th|%)?$")
 _JOINED = re.compile(r"([+-]?\d+(?:[.,]\d+)*)([^\W\d_]+)$")
@@ -216,15 +218,19 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = (key >> np.uint64(65 - (8 * len(bitmap)).bit_length())).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    last = np.uint64(8 * len(bitmap) - 1)
+    near = np.ones(len(key), bool)
+    for shift in SHIFTS:
+        at = (key >> np.uint64(shift) & last).astype(np.int64)
+        near &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return near
 
 
 def _bitmap(items: DataFrame) -> Broadcast:
-    """The first bits of all items' keys: 32 MB at most."""
-    size = max(16, min(FILTER_BITS, (16 * items.count()).bit_length()))
-    at = F.shiftrightunsigned("key", 64 - size) + 1  # Spark numbers bits from 1
-    parts = items.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    """Two places for each key of the items: 32 MB at most."""
+    size = max(16, min(FILTER_BITS, (256 * items.count()).bit_length()))
+    at = [F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << size) - 1)) + 1 for shift in SHIFTS]  # Spark numbers bits from 1
+    parts = items.select(F.explode(F.array(*at)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     bitmap = bytearray(max(4096, 1 << (size - 3)))
     for r in parts.collect():  # 8192 parts of 4 kB at most
         bitmap[(r["part"] - 1) * 4096 : r["part"] * 4096] = r["bits"]
