@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,9 +220,12 @@ def passages():
     return texts
 
 
-@pytest.mark.parametrize(("bits", "chunk"), [(22, 600_000), (19, 60)])
-def test_substring_by_brute_force(spark, monkeypatch, bits, chunk):
+@pytest.mark.parametrize(("bits", "chunk", "frequent"), [(22, 600_000, 64), (19, 60, 64), (19, 60, 3)])
+def test_substring_by_brute_force(spark, monkeypatch, bits, chunk, frequent):
     monkeypatch.setattr(substring, "SEGMENT_BITS", 18)
+    monkeypatch.setattr(substring, "CHUNK", chunk)
+    monkeypatch.setattr(substring, "FREQUENT", frequent)
+    monkeypatch.setattr(substring, "SALTS", 3)
     rows = list(enumerate(passages()))
     docs = docs_of(spark, [t for _, t in rows]).repartition(7)
     got = {r.doc_id: r for r in substring.deduplicate(docs, width_bits=bits).collect()}
@@ -242,6 +246,17 @@ def test_substring_keeps_columns_and_odd_rows(spark):
     assert {(r.doc, r["row"], r.ranges) for r in substring.stripped(clash, width_bits=22).collect()} == {(77, 78, 79)}
 
 
+def test_a_frequent_window_is_thinned():
+    text = " ".join(f"w{i}" for i in range(20))
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(9)), "row": [1] * 9, "text": [text] * 9})
+    everything = type("Bits", (), {"value": b"\xff" * (1 << 17)})
+    sent = [b for k in range(9) for b in substring._send(20, 8, 19, everything, everything)(iter([batch.slice(k, 1)]))]
+    assert len(sent) == 9 and all(b.column("hot").to_pylist() == [True] for b in sent)
+    out = pa.Table.from_batches(list(substring._group(20, thin=True)(iter(sent))))
+    assert sorted(d for d, r in zip(out["doc"].to_pylist(), out["route"].to_pylist(), strict=True) if r is None) == list(range(1, 9))
+    assert [d for d, r in zip(out["doc"].to_pylist(), out["route"].to_pylist(), strict=True) if r is not None] == [0]
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(5)
     anchor = rng.integers(0, 1 << 60, 3000).astype(np.uint64)

@@ -7,7 +7,8 @@ anchors is never less than the count of any window that holds them.
    merged by addition. Two bitmaps come back, 32 MB at any size of the corpus: cells of two and more, and cells of many.
 2. A second pass sends on only the windows whose anchor is estimated to repeat, and so loses none that repeats. Of equal windows
    in one chunk of a task only the first is sent; the others are removed there and then, so a window that stands in a third of all
-   documents reaches the shuffle once for each chunk. Windows of frequent anchors are dealt out one by one, others by anchor.
+   documents reaches the shuffle once for each chunk. Windows of frequent anchors are dealt out one by one, others by anchor; the
+   rows of one frequent window are thinned to one in each of 256 parts before they meet.
 3. Exact groups of 128-bit keys (anchor and window) find the windows that are not the first, and their words go.
 
 The sketch loses force as the corpus outgrows it (anchors are a seventh of the words; about 100 million for one window in four to
@@ -36,6 +37,8 @@ WINDOW, GRAM = 20, 8
 #: Cells of each of two rows of the sketch, as a power of two; the count from which an anchor is frequent.
 WIDTH_BITS, FREQUENT = 26, 64
 SEGMENT_BITS = 20
+#: Parts in which a frequent window is thinned before its exact group.
+SALTS = 256
 #: Windows that a task holds at once.
 CHUNK = 600_000
 FIRST_ID = -(1 << 63)
@@ -148,14 +151,14 @@ def _ranges(doc: np.ndarray, row: np.ndarray, start: np.ndarray, window: int) ->
     return doc[a], row[a], start[a], start[last] + window
 
 
-_SENT = "route long, anchor long, doc long, row long, start int, offsets binary, keys binary, lo int, hi int"
-_NAMES = ["route", "anchor", "doc", "row", "start", "offsets", "keys", "lo", "hi"]
+_SENT = "route long, anchor long, doc long, row long, start int, offsets binary, keys binary, lo int, hi int, hot boolean"
+_NAMES = ["route", "anchor", "doc", "row", "start", "offsets", "keys", "lo", "hi", "hot"]
 
 
 def _removed_rows(doc, row, lo, hi) -> pa.RecordBatch:
     n = len(doc)
     none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64())]
-    return pa.RecordBatch.from_arrays([*none, pa.array(doc), pa.array(row), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], _NAMES)
+    return pa.RecordBatch.from_arrays([*none, pa.array(doc), pa.array(row), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(n, pa.bool_())], _NAMES)
 
 
 def _send(window: int, gram: int, bits: int, twice, often):
@@ -181,7 +184,7 @@ def _send(window: int, gram: int, bits: int, twice, often):
             for at in range(0, len(cut), 50_000):
                 c, e = cut[at : at + 50_000], ends[at : at + 50_000]
                 n = len(c)
-                yield pa.RecordBatch.from_arrays([pa.array(route[c]), pa.array(anchor[c].view(np.int64)), pa.array(doc[c]), pa.array(row[c]), pa.array(start[c].astype(np.int32)), pa.array([offsets[a:b] for a, b in zip(c, e, strict=True)], pa.binary()), pa.array([keys[8 * a : 8 * b] for a, b in zip(c, e, strict=True)], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(route[c]), pa.array(anchor[c].view(np.int64)), pa.array(doc[c]), pa.array(row[c]), pa.array(start[c].astype(np.int32)), pa.array([offsets[a:b] for a, b in zip(c, e, strict=True)], pa.binary()), pa.array([keys[8 * a : 8 * b] for a, b in zip(c, e, strict=True)], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(hot[c])], _NAMES)
 
         held = runs = 0
         for batch in pieces(batches, "text"):
@@ -214,7 +217,9 @@ def _send(window: int, gram: int, bits: int, twice, often):
     return run
 
 
-def _group(window: int):
+def _group(window: int, thin: bool = False):
+    """Ranges of the windows that are not the first. thin: rows as they were sent, of single windows; the first ones go on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[pa.RecordBatch] = []
 
@@ -226,6 +231,9 @@ def _group(window: int):
             doc, row = spread("doc"), spread("row")
             start = spread("start").astype(np.int64) + np.frombuffer(b"".join(blobs), np.uint8)
             later = _later([key, spread("anchor")], doc, start)
+            if thin:
+                gone = [_removed_rows(*_ranges(doc[later], row[later], start[later], window))] if later.any() else []
+                return pa.concat_batches([*gone, *(pa.RecordBatch.from_arrays(b.columns, _NAMES) for b in part.filter(pa.array(~later)).to_batches())])
             if not later.any():
                 return None
             doc, row, lo, hi = _ranges(doc[later], row[later], start[later], window)
@@ -287,8 +295,12 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gra
         often[r["segment"] * size : (r["segment"] + 1) * size] = r["often"]
     share = spark.sparkContext.broadcast
     sent = scratch.table(docs.select("doc", "row", "text").mapInArrow(_send(window, gram, width_bits, share(bytes(twice)), share(bytes(often))), _SENT), "sent")
-    local = sent.where("route is null").select("doc", "row", "lo", "hi")
-    found = sent.where("route is not null").drop("lo", "hi").repartition("route").sortWithinPartitions("route").mapInArrow(_group(window), "doc long, row long, lo int, hi int")
+    # a frequent window has a row for each chunk of a task: these are thinned in SALTS parts first, so that no task gets all of them
+    salted = sent.where("hot").withColumn("salt", F.pmod(F.xxhash64("doc", "row", "start"), F.lit(SALTS)))
+    thinned = scratch.table(salted.repartition("route", "salt").drop("salt").sortWithinPartitions("route").mapInArrow(_group(window, thin=True), _SENT), "thinned")
+    both = sent.where("not coalesce(hot, false)").unionByName(thinned)
+    local = both.where("route is null").select("doc", "row", "lo", "hi")
+    found = both.where("route is not null").drop("lo", "hi", "hot").repartition("route").sortWithinPartitions("route").mapInArrow(_group(window), "doc long, row long, lo int, hi int")
     return local.unionByName(found)
 
 
