@@ -168,6 +168,60 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     assert len(token_files.repair(many, np.array([len(many)]), 100)[0]) < 50
 
 
+def plain_rounds(docs, first_new, least, factor):
+    """The rounds as they are described, over lists."""
+    docs, rules = [list(d) for d in docs], []
+    while True:
+        count = Counter(p for d in docs for p in zip(d, d[1:]))
+        top = max(count.values(), default=0)
+        if top < least:
+            return docs, rules
+        often = sorted((p for p in count if count[p] * factor >= top and count[p] >= least), key=lambda p: (-count[p], p))
+        rank, places = {p: r for r, p in enumerate(often)}, []
+        for d in docs:
+            own, run = [rank.get(p, len(rank)) for p in zip(d, d[1:])], 0
+            for i, r in enumerate(own):
+                run = run + 1 if i and own[i - 1] == r else 0
+                places.append(r < len(rank) and run % 2 == 0 and not (i and own[i - 1] < r) and not (i + 1 < len(own) and own[i + 1] < r))
+        at, used = iter(places), Counter()
+        chosen = [[(i, rank[p]) for i, p in enumerate(zip(d, d[1:])) if next(at)] for d in docs]
+        used.update(r for c in chosen for _, r in c)
+        good = [r for r in range(len(rank)) if 2 * used[r] >= least]
+        name = {r: first_new + len(rules) + k for k, r in enumerate(good)}
+        for d, c in zip(docs, chosen, strict=True):
+            for i, r in reversed(c):
+                if r in name:
+                    d[i : i + 2] = [name[r]]
+        rules += [often[r] for r in good]
+
+
+def test_rounds_look_up_no_place_by_search(monkeypatch):
+    rng = np.random.default_rng(3)
+    for least, factor in ((16, 16), (2, 3), (5, 16)):
+        ids = (rng.zipf(1.3, 6000) % 90).astype(np.uint16)
+        ids[1000:1300] = 7  # a run of equal ids
+        ends = np.r_[np.flatnonzero(rng.random(5999) < 0.02) + 1, 6000]
+        asked, search = [], np.searchsorted
+        with monkeypatch.context() as m:
+            m.setattr(token_files.np, "searchsorted", lambda a, v, *more, **named: (asked.append(np.size(v)), search(a, v, *more, **named))[1])
+            symbols, rules, cut = token_files.repair(ids, ends, 100, least, factor)
+        docs, plain = plain_rounds([d.tolist() for d in np.split(ids, ends[:-1])], 100, least, factor)
+        assert symbols.tolist() == [s for d in docs for s in d] and cut.tolist() == np.cumsum([len(d) for d in docs]).tolist()
+        assert [tuple(r) for r in rules.tolist()] == plain and len(plain) > 20
+        # one for each document and round; looking up every place in every round cost more CPU than all else
+        assert set(asked) == {len(ends)}
+
+
+def test_pairs_are_found_as_in_a_dict():
+    rng = np.random.default_rng(4)
+    for n in (1, 40, 5000, 60_000):
+        pairs = rng.permutation(np.unique(np.r_[np.uint32(0), rng.integers(0, 1 << 32, n, np.uint32)]))
+        keys = np.r_[rng.choice(pairs, 20_000), pairs + np.uint32(1), rng.integers(0, 1 << 32, 20_000, np.uint32), np.uint32(0xFFFFFFFF)]
+        number = {p: i for i, p in enumerate(pairs.tolist())}
+        at, found = token_files.Pairs(pairs).find(keys)
+        assert list(zip(at.tolist(), found.tolist())) == [(i, number[k]) for i, k in enumerate(keys.tolist()) if k in number]
+
+
 def test_token_files_spread_rows_of_one_id(spark):
     docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

@@ -221,36 +221,59 @@ class WordTokenizer:
         return out, counts
 
 
+#: Spreads pairs over slots; and no pair of symbols: rounds end before the symbol 0xFFFF could be in one.
+_SPREAD, _NO_PAIR = np.uint32(0x9E3779B1), np.uint32(0xFFFFFFFF)
+
+
+class Pairs:
+    """The numbers of distinct pairs, each a number of 32 bits, in open addressing."""
+
+    def __init__(self, pairs: np.ndarray):
+        bits = max(12, (8 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint32(32 - bits), np.uint32((1 << bits) - 1)
+        self.keys, self.number, self.used = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, bool)
+        todo, slot = np.arange(len(pairs)), pairs * _SPREAD >> self.shift
+        while len(todo):
+            free = ~self.used[slot]
+            self.keys[slot[free]] = pairs[todo[free]]
+            won = free & (self.keys[slot] == pairs[todo])
+            self.used[slot[won]], self.number[slot[won]] = True, todo[won]
+            todo, slot = todo[~won], (slot[~won] + np.uint32(1)) & self.mask
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in keys these pairs are, in ascending order, and their numbers."""
+        slot = keys * _SPREAD >> self.shift
+        at = np.flatnonzero(self.used[slot])
+        own, slot = keys[at], slot[at]
+        rest = np.flatnonzero(self.keys[slot] != own)
+        while len(rest):
+            slot[rest] = next_ = (slot[rest] + np.uint32(1)) & self.mask
+            rest = rest[self.used[next_] & (self.keys[next_] != own[rest])]
+        hit = self.used[slot] & (self.keys[slot] == own)
+        return at[hit], self.number[slot[hit]]
+
+
 def repair(ids: np.ndarray, ends: np.ndarray, first_new: int, least: int = LEAST, factor: int = FACTOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules and where each document ends in the symbols. ends: where documents end in ids."""
+    """Symbols, rules and where each document ends in the symbols. ends: where documents end in ids; least: 2 or more."""
     seq = ids.astype(np.uint16)
-    last = np.zeros(len(seq), bool)
-    last[ends - 1] = True
     rules, made = [np.zeros(0, np.uint32)], 0
-    is_left, is_right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-    while (room := (1 << 16) - first_new - made) > 0:
-        key = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-        inside = key[~last[:-1]]
-        if len(inside) < least:
-            break
-        inside.sort()
-        cut = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]])
-        count = np.diff(np.r_[cut, len(inside)])
-        top = int(count.max())
-        if top < least:
+    while (room := (1 << 16) - first_new - made) > 0 and len(seq) - len(ends) >= least:
+        key = seq[:-1].astype(np.uint32)
+        key <<= np.uint32(16)
+        key |= seq[1:]
+        key[ends[:-1] - 1] = _NO_PAIR
+        inside = np.sort(key)[: len(seq) - len(ends)]
+        # a pair that is there `least` times or more equals what comes least - 1 places later; so these lie in one run for each pair
+        again = np.zeros(len(inside) - least + 3, bool)
+        np.equal(inside[least - 1 :], inside[: len(inside) - least + 1], out=again[1:-1])
+        edge = np.flatnonzero(again[1:] != again[:-1])
+        begin, count = edge[::2], edge[1::2] - edge[::2] + least - 1
+        if not len(begin):
             break
-        often = np.flatnonzero(count >= max(least, -(-top // factor)))
+        often = np.flatnonzero(count >= -(-int(count.max()) // factor))
         often = often[np.argsort(-count[often], kind="stable")][:room]
-        pairs = inside[cut[often]]
-        order = np.argsort(pairs)
-        near = pairs[order]
-        is_left[:], is_right[:] = False, False
-        is_left[pairs >> np.uint32(16)] = True
-        is_right[pairs & np.uint32(0xFFFF)] = True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
-        slot = np.minimum(np.searchsorted(near, key[at]), len(pairs) - 1)
-        hit = near[slot] == key[at]
-        at, rank = at[hit], order[slot[hit]]
+        pairs = inside[begin[often]]
+        at, rank = Pairs(pairs).find(key)
         # of overlapping places that with the more frequent pair is replaced; in a run of equal symbols every second one
         beside = at[1:] == at[:-1] + 1
         begin = np.flatnonzero(np.r_[True, ~(beside & (rank[1:] == rank[:-1]))])
@@ -260,16 +283,16 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_new: int, least: int = LEAST
         at, rank = at[take], rank[take]
         # a pair that has lost most of its places to others waits for a later round; the most frequent one always has half of them
         good = np.bincount(rank, minlength=len(pairs)) >= -(-least // 2)
-        at, rank = at[good[rank]], rank[good[rank]]
+        use = good[rank]
+        at, rank = at[use], rank[use]
         seq[at] = (first_new + made + np.cumsum(good) - 1)[rank].astype(np.uint16)
-        last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        seq, ends = seq[stay], ends - np.searchsorted(at, ends - 1)
         rules.append(pairs[good])
         made += int(good.sum())
     table = np.concatenate(rules)
-    return seq, np.stack([table >> np.uint32(16), table & np.uint32(0xFFFF)], 1).astype(np.uint16).reshape(-1, 2), np.flatnonzero(last) + 1
+    return seq, np.stack([table >> np.uint32(16), table & np.uint32(0xFFFF)], 1).astype(np.uint16).reshape(-1, 2), ends
 
 
 def lengths_of(rules: np.ndarray, first_new: int) -> np.ndarray:
