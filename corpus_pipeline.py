@@ -13,29 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vertexloom.llm import decontaminate, langid, simhash, substring
 from vertexloom.llm.queries import token_digests
-from vertexloom.llm.scratch import Scratch, ship
+from vertexloom.llm.scratch import Scratch, bounded, ship
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _ready(spark: SparkSession) -> None:
+    """The workers of all stages are the same processes, so what each holds at once is bounded."""
     ship(spark)
+    bounded(spark)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _ready(spark)
     return langid.identified(docs, langid.fit(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _ready(spark)
     return simhash.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _ready(spark)
     return substring.stripped(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _ready(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _ready(spark)
     return token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions.names import fresh
 from vertexloom.llm.scratch import Scratch
 from vertexloom.llm.textops import Words, mix, pieces, repeats, text_buffers
-from vertexloom.llm.workers import alone
+from vertexloom.llm.workers import alone, let_go
 from vertexloom.operators.components import star_components
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 256
@@ -181,6 +181,8 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...]
             carry.append(batch.slice(a, b - a))
             last = key
     yield from unit()
+    carry = []
+    let_go()
 
 
 def distances(prints: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -39,8 +39,8 @@ WIDTH_BITS, FREQUENT = 26, 64
 SEGMENT_BITS = 20
 #: Parts in which a frequent window is thinned before its exact group.
 SALTS = 256
-#: Windows that a task holds at once.
-CHUNK = 600_000
+#: Windows that a task holds at once, and bytes of text that it adds to them.
+CHUNK, TEXT = 600_000, 1 << 20
 FIRST_ID = -(1 << 63)
 
 
@@ -92,7 +92,7 @@ def _count(window: int, gram: int, bits: int):
             return pa.RecordBatch.from_arrays([pa.array(segment[cuts].astype(np.int32)), pa.array(sizes, pa.binary()), pa.array([low[a:b].tobytes() for a, b in rows], pa.binary())], ["segment", "blocks", "cells"])
 
         held = 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", most=TEXT):
             w = Words.of(batch.column(batch.schema.get_field_index("text")))
             _, place, anchor = anchors(w, w.hashes(), window, gram)
             one, two = cells(anchor[occurrences(place)], bits)
@@ -187,7 +187,7 @@ def _send(window: int, gram: int, bits: int, twice, often):
                 yield pa.RecordBatch.from_arrays([pa.array(route[c]), pa.array(anchor[c].view(np.int64)), pa.array(doc[c]), pa.array(row[c]), pa.array(start[c].astype(np.int32)), pa.array([offsets[a:b] for a, b in zip(c, e, strict=True)], pa.binary()), pa.array([keys[8 * a : 8 * b] for a, b in zip(c, e, strict=True)], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(hot[c])], _NAMES)
 
         held = runs = 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", most=TEXT):
             w = Words.of(batch.column(batch.schema.get_field_index("text")))
             hashes = w.hashes()
             at, place, anchor = anchors(w, hashes, window, gram)

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from vertexloom.llm.workers import let_go
+
 #: White space between words: blank and the ASCII controls 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -50,7 +52,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text (or of bytes) in these columns; a longer row is a batch of its own."""
+    """The same rows in batches of about `most` bytes of text (or of bytes) in these columns; a longer row is a batch of its own. Then freed memory goes."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -62,6 +64,7 @@ def pieces(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 4 << 20
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    let_go()
 
 
 class Words:

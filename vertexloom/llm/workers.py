@@ -6,6 +6,8 @@ import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _owner: list = [None, None]
 
 
@@ -17,13 +19,19 @@ def claim(name: str, release: Callable[[], None]) -> None:
         gc.unfreeze()
         _owner[1]()
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: the memory stays with the process
-            pass
+        let_go()
     _owner[:] = [name, release]
 
 
+def let_go() -> None:
+    """Give freed memory back to the system: an idle worker of an executor would keep what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: the memory stays with the process
+        pass
+
+
 def alone() -> None:
     """For operators that keep nothing."""
     claim("none", lambda: None)
