@@ -336,3 +336,27 @@ def test_names_that_clash(spark):
     assert fresh(["A", "_a"], "a", "b") == ("__a", "b")
     assert rows(keyed_joins.left_join(left, right, lambda _, a, u, hit: F.when(hit, a + u))) == [(1, 7, 3, 4)]
     assert rows(keyed_joins.inner_join(left, right, lambda _, a, u: a * u)) == [(1, 10, 3, 4)]
+
+
+def test_counts_in_one_pass(spark):
+    assert rows(Graph.from_edges(edges(spark, M2)).counts()) == [(3, 4, 2)]
+    assert rows(Graph.from_edges(edges(spark, [])).counts()) == [(0, 0, 0)]
+    loose = spark.createDataFrame([(1, 2, 1), (None, 2, 1)], "src long, dst long, attr int")
+    assert rows(Graph.from_edges(loose).counts()) == [(3, 2, 1)]  # as in SQL null is a row of the union, but no distinct source
+
+
+@pytest.mark.parametrize("kind", ["bip_edges", "seq_edges", "sparse_edges"])
+def test_partitions_of_edges_grow_with_the_lines(spark, tmp_path, monkeypatch, kind):
+    from vertexloom import catalog
+
+    line = "id as l_orderkey", "id % 7 as l_partkey", "id % 5 as l_suppkey", "1 as l_linenumber", "50d as l_quantity", "0.1d as l_discount"
+    spark.range(1000).selectExpr(*line).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(300).selectExpr("id as o_orderkey", "id % 9 as o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(partitioning.parts_for, "__defaults__", (50,))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = getattr(catalog, kind)(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() == 20  # adaptive execution would merge them to one
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
