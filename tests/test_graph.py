@@ -360,3 +360,52 @@ def test_partitions_of_edges_grow_with_the_lines(spark, tmp_path, monkeypatch, k
         assert found.rdd.getNumPartitions() == 20  # adaptive execution would merge them to one
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_supersteps_do_not_sort_kept_edges(spark):
+    from vertexloom.plans.algorithms import _placed
+
+    pairs = [(i % 50, i % 77) for i in range(1000)] + [(3, 4)] * 5
+    placed = _placed(edges(spark, pairs).select("src", "dst"), 4).persist()
+    want = {p: sum(a == p[0] for a, _ in pairs) / pairs.count(p) for p in set(pairs)}
+    assert {(r.src, r.dst): r.out_degree for r in placed.collect()} == want
+    sums = spark.range(50).select("id", F.lit(0.5).alias("s"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1")):
+            spark.conf.set(k, v)
+        text = plan(rank_shares(placed, sums, 0.15)).split("InMemoryRelation")[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        placed.unpersist()
+    assert "Sort [src" not in text and not re.search(r"Exchange hashpartitioning\(src", text) and "SortMergeJoin" in text
+
+
+@pytest.mark.parametrize("name", ["pagerank_5", "scatter_gather_ranks"])
+def test_iterations_get_edges_that_are_written(spark, monkeypatch, name):
+    iterated_on_files(spark, monkeypatch, name)
+
+
+def iterated_on_files(spark, monkeypatch, name):
+    from pathlib import Path
+
+    from vertexloom import catalog
+
+    if not Path("/root/testdata/sf0.001").is_dir():
+        pytest.skip("the driver's tables are not here")
+    seen = []
+
+    def stop(g, *_, **__):
+        seen.append(plan(g.edges) + plan(g.vertices))
+        raise InterruptedError
+
+    for module, f in ((catalog.algorithms, "pagerank"), (catalog.algorithms, "connected_components"), (catalog.algorithms, "component_sizes"), (catalog.iteration, "scatter_gather"), (catalog.iteration, "scatter_gather_between")):
+        monkeypatch.setattr(module, f, stop)
+    with pytest.raises(InterruptedError):
+        catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen and "Window" not in seen[0]
