@@ -386,7 +386,7 @@ def test_supersteps_do_not_sort_kept_edges(spark):
     assert "Sort [src" not in text and not re.search(r"Exchange hashpartitioning\(src", text) and "SortMergeJoin" in text
 
 
-@pytest.mark.parametrize("name", ["pagerank_5", "scatter_gather_ranks"])
+@pytest.mark.parametrize("name", ["pagerank_5", "scatter_gather_ranks", "scatter_gather_components", "connected_components", "component_sizes"])
 def test_iterations_get_edges_that_are_written(spark, monkeypatch, name):
     iterated_on_files(spark, monkeypatch, name)
 
